@@ -55,12 +55,13 @@ def rate(size: Column) -> Column:
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, item_shingles, shared, sketch_hits, containment of every pair that reaches the threshold."""
     it = items.select("item_id", F.coalesce(items["text"], F.lit("")).alias("text"))
-    it = shingles(it, "text", "s").select("item_id", F.size("s").alias("item_shingles"), F.explode("s").alias("h"))
+    it = shingles(it, "text", "s").select("item_id", F.size("s").alias("item_shingles"), F.explode_outer("s").alias("h")).where("h is not null")
     it = it.withColumn("sketched", F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < rate(F.col("item_shingles")) * (1 << 20))
     small = it.count() <= BROADCAST_SHINGLES
-    d = shingles(text_of(docs), "text", "s").select("doc_id", F.explode("s").alias("h"))
-    hits = d.join(F.broadcast(it) if small else it, "h")
-    # (document, item): hits in the sketch make the candidate, all hits verify it; repeated rows count once
-    pairs = hits.groupBy("doc_id", "item_id", "item_shingles").agg(F.count_distinct(F.when(F.col("sketched"), F.col("h"))).alias("sketch_hits"), F.count_distinct("h").alias("shared"))
+    # explode_outer: for explode the optimiser adds a filter on the array's size, and with it a second, uncached tokenising
+    d = shingles(text_of(docs), "text", "s").select("doc_id", F.explode_outer("s").alias("h"))
+    hits = d.join(F.broadcast(it) if small else it, "h").distinct()  # repeated rows count once
+    # (document, item): hits in the sketch make the candidate, all hits verify it
+    pairs = hits.groupBy("doc_id", "item_id", "item_shingles").agg(F.count_if("sketched").alias("sketch_hits"), F.count(F.lit(1)).alias("shared"))
     pairs = pairs.where(F.col("sketch_hits") > 0).where(F.col("shared") >= F.lit(threshold) * F.col("item_shingles"))
     return pairs.select("doc_id", "item_id", F.col("item_shingles").cast("long").alias("item_shingles"), "shared", "sketch_hits", (F.col("shared") / F.col("item_shingles")).alias("containment"))

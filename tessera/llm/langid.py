@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm._spark import fold
 from tessera.llm._text import LOWER, chunks
@@ -138,12 +139,13 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     return fit([r.text for r in rows], [r.lang for r in rows])
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, lang_pred, score for every document."""
+def with_language(docs: DataFrame, model: Model | None) -> DataFrame:
+    """All columns of ``docs`` plus lang_pred and score (replacing columns of these names)."""
+    docs = docs.drop("lang_pred", "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, col = batch.column("doc_id"), batch.column("text")
+            col = batch.column("text")
             langs, scores = [], []
             for lo, hi, raw, off in chunks(col, CHUNK):
                 p = softmax(model.logits(raw, off)) if model else None
@@ -155,9 +157,15 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                         k = int(p[d].argmax())
                         langs.append(model.langs[k])
                         scores.append(float(p[d, k]))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+
+    shape = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return docs.mapInArrow(run, shape)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+def predict(docs: DataFrame, model: Model | None) -> DataFrame:
+    """doc_id, lang_pred, score for every document."""
+    return with_language(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model).drop("text")
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -10,7 +10,7 @@ tasks; each block leaves at most two undecided units, which fly again in ever fe
 
 Edge cases: null text has size 0; a null source is a source of its own (last in order); a source of size 0 gets target
 0; repeated rows are units of their own; an empty table gives an empty result. Extra columns are ignored by ``mix``
-and carried by ``take``.
+and carried by ``take`` and ``with_copies``.
 """
 
 from __future__ import annotations
@@ -152,8 +152,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = MOST_COPIES, block_units: i
     return result.select("doc_id", "size", "source", "source_size", "target", copies.cast("long").alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))
 
 
+def with_copies(docs: DataFrame, **options) -> DataFrame:
+    """The documents that the mix takes, each with its number of ``copies``."""
+    plan = mix(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("__copies")).where("__copies > 0").withColumnRenamed("doc_id", "__id")
+    joined = docs.join(plan, docs["doc_id"].eqNullSafe(F.col("__id"))).drop("__id")
+    return joined.withColumnRenamed("__copies", "copies")
+
+
 def take(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document's rows repeated as often as it is taken (documents of no words go with 0 or more copies alike)."""
-    plan = mix(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    joined = docs.alias("d").join(plan.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")))
-    return joined.where("__copies > 0").select(F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__i"), "d.*").drop("__i")
+    """The mix itself: each document's row as often as it is taken."""
+    rows = with_copies(docs, **options).withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return rows.drop("copies")

@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, fingerprint, langid, licenses, mixing, toxicity, warc
+from tessera.llm import decontaminate, fingerprint, langid, licenses, mixing, ngram_join, ngram_lm, suffix_dedup, toxicity, warc
 from tessera.llm._spark import table
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link(table(spark, sf_dir, "documents"))
+
+
+def op2_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -32,11 +40,15 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.read(warc.write(table(spark, sf_dir, "pages")))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op4_language_id, op5_mix_sources, op6_decontaminate, op7_fingerprint, op8_license_scan, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_ngram_lm, op3_toxicity, op4_language_id, op5_mix_sources, op6_decontaminate, op7_fingerprint, op8_license_scan, op9_suffix_dedup, op10_warc)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -34,10 +35,20 @@ READ_BYTES = 1 << 18
 PROBE_BYTES = 512
 
 
-def _fs(uri: str):
+def _open(uri: str, write: bool = False):
+    """An archive of the shared folder: a mounted folder (file:) by the plain file calls, any other store by Arrow's."""
+    if uri.startswith(("file:", "/")):
+        where = "/" + uri.removeprefix("file:").lstrip("/")
+        if write:
+            os.makedirs(os.path.dirname(where), exist_ok=True)
+        return open(where, "wb" if write else "rb")
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    store, where = fs.FileSystem.from_uri(uri)
+    if not write:
+        return store.open_input_file(where)
+    store.create_dir(where.rsplit("/", 1)[0], recursive=True)
+    return store.open_output_stream(where, compression=None)
 
 
 def b32(digest: bytes) -> str:
@@ -81,9 +92,7 @@ def write(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
             for pdf in batches:
                 for page_id, url, html, refers in zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["refers_to"], strict=True):
                     if out is None:
-                        fs, where = _fs(path)
-                        fs.create_dir(where.rsplit("/", 1)[0], recursive=True)
-                        out = fs.open_output_stream(where)
+                        out = _open(path, write=True)
                     payload = html.encode("utf-8")
                     pid = None if pd.isna(page_id) else int(page_id)
                     ref = None if pd.isna(refers) else int(refers)
@@ -116,7 +125,8 @@ class _Source:
             return b""
         if not (self.at <= at and at + n <= self.at + len(self.data)):
             self.at = at
-            self.data = self.file.read_at(min(max(n, READ_BYTES), self.size - at), at)
+            self.file.seek(at)
+            self.data = self.file.read(min(max(n, READ_BYTES), self.size - at))
         return self.data[at - self.at : at - self.at + n]
 
 
@@ -173,10 +183,9 @@ def read(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, size, start in zip(pdf["path"], pdf["bytes"], pdf["start"], strict=True):
-                fs, where = _fs(path)
                 rows: list[tuple] = []
                 held = 0
-                with fs.open_input_file(where) as f:
+                with _open(path) as f:
                     for h, body in records_in(_Source(f, int(size)), int(start), min(int(start) + range_bytes, int(size))):
                         full = h["WARC-Type"] == "response"
                         digest = h["WARC-Payload-Digest"].removeprefix("sha1:")
