@@ -1,0 +1 @@
+"""Structured Streaming: the engine reads files at rest only; nothing is streamed, and nothing here is needed yet."""
