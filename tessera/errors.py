@@ -46,8 +46,8 @@ def from_spark(ex: Exception) -> QueryError:
     get = getattr(ex, "getCondition", None) or getattr(ex, "getErrorClass", None)
     condition = (get() if get else None) or ""
     text = str(ex)
-    if condition.startswith(_DATA) or any(f"[{c}" in text for c in _DATA):
-        if "MALFORMED" in text or "FAILED_READ_FILE" in condition or "[FAILED_READ_FILE" in text:
+    if condition.startswith(_DATA) or any(f"[{c}" in text for c in _DATA):  # a failed task's condition stands in the text
+        if "MALFORMED" in text or "FAILED_READ_FILE" in text:
             return QueryError(ErrorCode.DATA_ERROR, "A source file could not be read: a row doesn't have the expected fields, or the file changed since it was registered.")
         return QueryError(ErrorCode.DATA_ERROR, "A value is out of range for its type (numeric overflow or an unreadable number).")
     return QueryError(ErrorCode.INTERNAL, f"Query failed inside the engine ({condition or type(ex).__name__}).")

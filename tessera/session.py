@@ -8,6 +8,7 @@ import threading
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -80,7 +81,7 @@ class Engine:
             return run_limited(self.spark, work, budget.timeout_ms)
         except QueryError:
             raise
-        except PySparkException as ex:
+        except (PySparkException, Py4JJavaError) as ex:
             raise from_spark(ex) from ex
 
     def write_csv(self, sql: str, path: str, budget: Budget = Budget()) -> None:

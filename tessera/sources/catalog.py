@@ -7,6 +7,7 @@ import threading
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -113,7 +114,7 @@ def read_csv(spark: SparkSession, name: str, path: str) -> TableMeta:
         found = raw.agg(F.count(F.lit(1)).alias("n"), *ints).first()
     except QueryError:
         raise
-    except PySparkException as ex:
+    except (PySparkException, Py4JJavaError) as ex:
         if "UNABLE_TO_INFER" in str(ex) or "EMPTY" in str(ex):
             raise QueryError(ErrorCode.DATA_ERROR, f"Table '{name}' has no header row.") from ex
         raise QueryError(ErrorCode.DATA_ERROR, f"Table '{name}': a row doesn't have the expected {len(cells) if 'cells' in locals() else '?'} fields, or the file can't be read.") from ex
