@@ -48,6 +48,9 @@ REGION = 2048
 LEAF = 48
 PIVOTS = 8
 TAU = 0.5
+SHRINK, GROW = 0.9, 1.5  # a split must leave no part of over 0.9 of the region, and at most 1.5 times its rows
+LEVELS = 6
+EPS = 1e-9
 
 
 def least_shared(n: int) -> int:
@@ -177,21 +180,25 @@ class _Join:
         if len(members) <= LEAF:
             return self.leaf(members)
         r = 1 - NUM / DEN
-        step = len(members) / PIVOTS
-        pivots = [members[int(k * step)] for k in range(PIVOTS)]
-        d = np.array([[distance(self.sets[i], self.sets[p]) for p in pivots] for i in members])
-        for row, i in zip(d, members, strict=True):
-            for x, p in zip(row, pivots, strict=True):
-                if x <= r + 1e-12 and self.root(i) != self.root(p) and _close(self.sets[i], self.sets[p]):
-                    self.link(i, p)
+        step = max(1, len(members) // PIVOTS)
+        pivots = far_apart([self.sets[i] for i in members[::step][:PIVOTS]])
+        d = np.array([[distance(self.sets[i], p) for p in pivots] for i in members])
         near = d.min(axis=1)
-        parts = [[i for i, x in zip(members, near, strict=True) if x >= TAU - r - 1e-9]]
-        parts += [[i for i, x, m in zip(members, d[:, k], near, strict=True) if x <= min(m + 2 * r, TAU + r) + 1e-9] for k in range(PIVOTS)]
+        parts = [[i for i, x in zip(members, near, strict=True) if x >= TAU - r - EPS]]
+        parts += [[i for i, x, m in zip(members, d[:, k], near, strict=True) if x <= min(m + 2 * r, TAU + r) + EPS] for k in range(len(pivots))]
+        if max(map(len, parts)) > SHRINK * len(members) or sum(map(len, parts)) > GROW * len(members):
+            return self.leaf(members)  # the pivots don't tell these apart
         for part in parts:
-            if len(part) > 0.9 * len(members):
-                self.leaf(part)
-            else:
-                self.region(part)
+            self.region(part)
+
+
+def far_apart(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """Of candidates for pivots those farther than TAU + r from every one before: close pivots would hold the same documents."""
+    out: list[np.ndarray] = []
+    for s in sets:
+        if all(distance(s, p) > TAU + 1 - NUM / DEN for p in out):
+            out.append(s)
+    return out
 
 
 def _join_region(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -202,41 +209,49 @@ def _join_region(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(ids[a], ids[b]) for a, b in j.found], columns=["x", "y"])
 
 
+def _assigned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of large regions with their region's candidate pivots -> rows of the parts."""
+    r = 1 - NUM / DEN
+    for pdf in batches:
+        out = []
+        for region, rep, label, blob, size, ps in zip(*(pdf[c] for c in ("region", "rep", "label", "shingles", "size", "pivots")), strict=True):
+            s = np.frombuffer(blob, U)
+            d = [distance(s, p) for p in far_apart([np.frombuffer(p["shingles"], U) for p in (() if ps is None else ps)])]
+            near = min(d, default=1.0)
+            out += [(region, f"{region}/{k}", size, rep, label, blob) for k, x in enumerate(d) if x <= min(near + 2 * r, TAU + r) + EPS]
+            if near >= TAU - r - EPS:
+                out.append((region, f"{region}/far", size, rep, label, blob))
+        yield pd.DataFrame(out, columns=["parent", "region", "size", "rep", "label", "shingles"])
+
+
 def _divide(regions: DataFrame) -> DataFrame:
     """Regions of more than REGION documents are split by pivots, as in ``_Join.region``, until none is so large; a
-    region that pivots can't split (all far from one another) is dealt out as pairs of blocks."""
-    r = 1 - NUM / DEN
-    for level in range(6):
-        sizes = regions.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > REGION)
-        if not sizes.limit(1).count():
-            return regions
-        rows = regions.join(sizes, "region", "left")
-        done = rows.where("size is null").drop("size")
-        large = rows.where("size is not null")
+    region that its pivots don't split is dealt out as pairs of blocks, each to be compared in full."""
+    shape = "parent string, region string, size long, rep long, label long, shingles binary"
+    done, whole = regions.where("false"), regions.where("false")
+    for level in range(LEVELS):
+        sizes = regions.groupBy("region").agg(F.count(F.lit(1)).alias("size"))
+        rows = cut(regions.join(sizes, "region"), "sized")
+        done = done.unionByName(rows.where(F.col("size") <= REGION).drop("size"))
+        large = rows.where(F.col("size") > REGION)
+        if not large.limit(1).count():
+            regions = large.drop("size")
+            break
         # about PIVOTS documents of each region by hash, so no region is gathered to choose them
         chosen = large.where(F.pmod(F.xxhash64("rep", F.lit(level)), F.col("size")) < PIVOTS)
-        pivots = chosen.groupBy("region").agg(F.collect_list(F.struct("rep", "shingles")).alias("pivots"))
-
-        def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                out = []
-                for region, rep, label, blob, size, ps in zip(*(pdf[c] for c in ("region", "rep", "label", "shingles", "size", "pivots")), strict=True):
-                    s = np.frombuffer(blob, U)
-                    ps = [] if ps is None else list(ps)
-                    d = [distance(s, np.frombuffer(p["shingles"], U)) for p in ps]
-                    near = min(d, default=1.0)
-                    out += [(f"{region}/{p['rep']}", rep, label, blob) for p, x in zip(ps, d, strict=True) if x <= min(near + 2 * r, TAU + r) + 1e-9]
-                    if near >= TAU - r - 1e-9:
-                        out.append((f"{region}/far", rep, label, blob))
-                yield pd.DataFrame(out, columns=["region", "rep", "label", "shingles"])
-
-        split = large.join(pivots, "region", "left").select("region", "rep", "label", "shingles", "size", "pivots").mapInPandas(assign, "region string, rep long, label long, shingles binary")
-        regions = cut(done.unionByName(split), "regions")
-    sizes = regions.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / (REGION // 2)).alias("blocks"))
-    rows = regions.join(sizes, "region").withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    rows = rows.select("*", other.alias("o"))
-    return rows.select(F.concat_ws("/", "region", F.least("b", "o"), F.greatest("b", "o")).alias("region"), "rep", "label", "shingles")
+        pivots = chosen.groupBy("region").agg(F.sort_array(F.collect_list(F.struct("rep", "shingles"))).alias("pivots"))
+        split = cut(large.join(pivots, "region", "left").select("region", "rep", "label", "shingles", "size", "pivots").mapInPandas(_assigned, shape), "split")
+        parts = split.groupBy("parent", "region").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"))
+        good = parts.groupBy("parent").agg(F.max("n").alias("most"), F.sum("n").alias("all"), F.first("size").alias("size"))
+        good = good.where((F.col("most") <= SHRINK * F.col("size")) & (F.col("all") <= GROW * F.col("size"))).select("parent")
+        whole = whole.unionByName(large.join(good, large["region"] == good["parent"], "left_anti").drop("size"))
+        regions = split.join(good, "parent", "left_semi").select("region", "rep", "label", "shingles")
+    rest = whole.unionByName(regions)
+    sizes = rest.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / (REGION // 2)).alias("blocks"))
+    rest = rest.join(sizes, "region").withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    rest = rest.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("o"))
+    rest = rest.select(F.concat_ws("/", "region", F.least("b", "o"), F.greatest("b", "o")).alias("region"), "rep", "label", "shingles")
+    return done.unionByName(rest)
 
 
 def link(docs: DataFrame, size: int = 5) -> DataFrame:

@@ -1,0 +1,51 @@
+import random
+
+import pytest
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra string"
+
+
+def words(rng, n, vocabulary=400):
+    return [f"{'abcdefghij'[rng.randrange(10)]}{'aeiou'[rng.randrange(5)]}{'klmnopqrst'[rng.randrange(10)]}{rng.randrange(vocabulary // 100)}" for _ in range(n)]
+
+
+def corpus(seed=1, n=60):
+    """Texts with near copies, exact copies, shared passages, ties, nulls, empty and long texts."""
+    rng = random.Random(seed)
+    shared = " ".join(words(rng, 70))
+    texts = []
+    for i in range(n):
+        w = words(rng, rng.choice([3, 4, 5, 6, 40, 120, 300]))
+        if i % 7 == 0:
+            w[len(w) // 2 : len(w) // 2] = shared.split()
+        texts.append(("\n" if i % 2 else " ").join(w))
+    for i in range(0, n, 5):
+        w = texts[i].split()
+        for _ in range(rng.randrange(0, 1 + len(w) // 25)):
+            w[rng.randrange(len(w))] = "changed"
+        texts.append(" ".join(w))
+    texts += [texts[3], texts[3], "", None, "   \n", "one", "ONE", "é ü ñ Ünïcode 日本語 text", "x" * 300, "x" * 300, " ".join(words(rng, 4000)), "ab " * 200]
+    langs, sources = ["en", "fr", None, "de"], ["a", "b", "c", None]
+    return [(i, t, langs[i % 4], sources[min(3, i % 9)], None if t is None else len(t), "z") for i, t in enumerate(texts)]
+
+
+@pytest.fixture(scope="session")
+def rows():
+    return corpus()
+
+
+@pytest.fixture(scope="session")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="session")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="session")
+def odd(spark):
+    """Null ids, repeated rows, an id with two texts."""
+    a = " ".join(words(random.Random(9), 60))
+    return spark.createDataFrame([(None, a, "en", "s", 1, ""), (7, a, None, None, 1, ""), (7, a, None, None, 1, ""), (8, "other text of the same id", "fr", "s", 1, ""), (8, a, "fr", "s", 1, ""), (9, None, None, None, None, None)], SCHEMA)
