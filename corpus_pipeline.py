@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, langid, mixing, ngram_join, suffix_dedup
-from tessera.llm._spark import cut, table
+from tessera.llm._spark import cut, scratch, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document is rejected when its language can't be told: no letters, or hardly better than chance.
@@ -31,7 +31,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id."""
     docs = docs.select(*COLUMNS)
-    first = cut(ngram_join.link(docs).where("doc_id = component_id").select("doc_id").distinct(), "kept")
+    with scratch(spark):
+        first = cut(ngram_join.link(docs).where("doc_id = component_id").select("doc_id").distinct(), "kept", keep=True)
     kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._spark import cut, drop_path
+from tessera.llm._spark import cut, drop_table
 
 
 def _state(e: DataFrame) -> tuple:
@@ -25,7 +25,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = low.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         after = cut(small.where("u <> v").distinct(), "edges")
         was, state = state, _state(after)
-        drop_path(e.sparkSession, e)
+        drop_table(e)
         e = after
         if state == was:
             break

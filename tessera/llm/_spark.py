@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,20 +30,39 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, what: str) -> DataFrame:
+_scratch = threading.local()
+
+
+def cut(df: DataFrame, what: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: lineage ends there and survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, what)
     df.write.parquet(path)
+    if not keep and getattr(_scratch, "open", None):
+        _scratch.open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files behind a table made by ``cut`` once nothing reads it any more."""
-    jvm = spark._jvm
-    for f in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables cut inside the block when it ends, but for those to keep: use their rows before."""
+    _scratch.open = [*getattr(_scratch, "open", []), []]
+    try:
+        yield
+    finally:
+        for path in _scratch.open.pop():
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete the files of a table made by ``cut`` once nothing reads it any more."""
+    for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
+        _delete(df.sparkSession, path)
 
 
 def text_of(docs: DataFrame, *more: str) -> DataFrame:

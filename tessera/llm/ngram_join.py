@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm._bitmap import bit_map, marked
 from tessera.llm._graph import components
-from tessera.llm._spark import cut
+from tessera.llm._spark import cut, drop_table
 from tessera.llm._text import U, Words, chunks, mix, shingle_sets
 
 NUM, DEN = 75, 100  # similarity of 0.75 or more
@@ -271,10 +271,13 @@ def link(docs: DataFrame, size: int = 5) -> DataFrame:
     marks = spark.sparkContext.broadcast(bit_map(twice.select("s").mapInArrow(_mixed, "h long"), MAP_BITS))
     rows = prefixes.mapInArrow(_kept_rows(marks), "s long, doc_id long").join(members.select("doc_id", "rep"), "doc_id").select("s", "rep").distinct()
     rows = cut(rows, "pivots")
+    sizes = cut(sig.select("doc_id", F.col("n").alias("n_shingles")), "sizes")
+    drop_table(sig)  # the prefixes have been used
     crowd = rows.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     ranked = rows.join(crowd, "s").join(info.select("rep", "omit"), "rep").withColumn("rank", F.row_number().over(Window.partitionBy("rep").orderBy(F.col("c").desc(), "s")))  # a document's own prefix
     left_out = (F.col("rank") <= F.col("omit")) & (F.col("c") > CROWDED)
     ranked = cut(ranked.select("s", "rep", left_out.alias("out")), "ranked")
+    drop_table(rows)
     omitted = ranked.where("out").groupBy("rep").agg(F.count(F.lit(1)).alias("o"))
     kept = ranked.where("not out").select("s", "rep")
     pivot = F.min_by("rep", F.xxhash64("rep")).alias("pivot")
@@ -292,7 +295,7 @@ def link(docs: DataFrame, size: int = 5) -> DataFrame:
     pairs = pairs.where((F.least("nx", "ny") * DEN >= F.greatest("nx", "ny") * NUM) & (F.col("c") + F.col("ox") + F.col("oy") + beyond >= need)).select("x", "y")
     stars = regions.where((F.col("c") > SMALL) & (F.col("rep") != F.col("pivot"))).select(F.least("rep", "pivot").alias("x"), F.greatest("rep", "pivot").alias("y"))
     pairs = cut(pairs.union(stars).distinct(), "pairs")
-    linked = cut(_verify(base, pairs, size), "links")
+    linked = _verify(base, pairs, size)
 
     # 3. crowded regions that are still of several components are joined by document pivots
     labels = cut(components(linked), "labels")
@@ -307,7 +310,7 @@ def link(docs: DataFrame, size: int = 5) -> DataFrame:
         labels = cut(components(linked.union(cut(more, "links"))), "labels")
 
     found = members.select("doc_id", "rep").join(labels, F.col("rep") == F.col("node"), "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
-    return sig.select("doc_id", F.col("n").alias("n_shingles")).join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return sizes.join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,4 +330,6 @@ def _verify(base: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
     sets = cut(_sets_of(base, ids, size), "sets")
     a = sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("a"))
     b = sets.select(F.col("doc_id").alias("y"), F.col("shingles").alias("b"))
-    return pairs.join(a, "x").join(b, "y").select("x", "y", "a", "b").mapInArrow(_verified, "x long, y long")
+    links = cut(pairs.join(a, "x").join(b, "y").select("x", "y", "a", "b").mapInArrow(_verified, "x long, y long"), "links")
+    drop_table(sets)
+    return links
