@@ -51,4 +51,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_ngram_lm, op3_toxicity, op4_language_id, op5_mix_sources, op6_decontaminate, op7_fingerprint, op8_license_scan, op9_suffix_dedup, op10_warc)}
 
-ORACLE_SQL: dict[str, str] = {}
+
+def _shingles(key: str, table_: str) -> str:
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+    return f"""SELECT DISTINCT {key}, array_to_string(w[i + 1 : i + 5], ' ') AS s
+        FROM (SELECT {key}, w, unnest(range(0, greatest(len(w) - 4, 1))) AS i FROM (SELECT {key}, {words} AS w FROM {table_}) WHERE len(w) > 0)"""
+
+
+#: Queries that SQL can express; the others are tested against brute force, round trips or held-out accuracy in tests/llm.
+ORACLE_SQL: dict[str, str] = {
+    "op6_decontaminate": f"""
+        WITH d AS ({_shingles("doc_id", "documents")}), b AS ({_shingles("item_id", "benchmark")}),
+        n AS (SELECT item_id, count(*) AS item_shingles FROM b GROUP BY item_id)
+        SELECT d.doc_id, b.item_id, n.item_shingles, count(*) AS shared, count(*) / CAST(n.item_shingles AS DOUBLE) AS containment
+        FROM d JOIN b ON d.s = b.s JOIN n ON n.item_id = b.item_id
+        GROUP BY d.doc_id, b.item_id, n.item_shingles HAVING count(*) >= 0.75 * n.item_shingles""",
+}
