@@ -83,4 +83,4 @@ def test_edges(empty, odd):
 
 
 def test_carried_columns(docs):
-    assert sd.dedup(docs, carry=("lang", "source")).columns == ["lang", "source", "doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_text"]
+    assert sd.dedup(docs, carry=("lang", "source")).columns == ["doc_id", "lang", "source", "n_bytes", "n_removed", "n_spans", "kept", "kept_text"]
