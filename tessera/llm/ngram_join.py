@@ -47,6 +47,7 @@ ID_BITS = 24
 REGION = 2048
 LEAF = 48
 PIVOTS = 8
+BIN_BITS = 10
 TAU = 0.5
 SHRINK, GROW = 0.9, 1.5  # a split must leave no part of over 0.9 of the region, and at most 1.5 times its rows
 LEVELS = 6
@@ -165,13 +166,17 @@ class _Join:
         self.parent[self.root(i)] = self.root(j)
 
     def leaf(self, members: list[int]) -> None:
+        """All pairs; a bound from counts of hashes by bin (sets share at most the smaller count of each bin) spares most tests."""
         by = sorted(members, key=lambda i: len(self.sets[i]))
+        sizes = np.array([len(self.sets[i]) for i in by])
+        bins = np.array([np.bincount((self.sets[i] >> U(63 - BIN_BITS)).astype(np.int64), minlength=1 << BIN_BITS) for i in by], np.uint16 if sizes[-1] < 1 << 16 else np.uint32)
+        ends = np.searchsorted(sizes, sizes * DEN // NUM, side="right")
         for k, i in enumerate(by):
-            for j in by[k + 1 :]:
-                if len(self.sets[i]) * DEN < len(self.sets[j]) * NUM:
-                    break
-                if self.root(i) != self.root(j) and _close(self.sets[i], self.sets[j]):
-                    self.link(i, j)
+            most = np.minimum(bins[k], bins[k + 1 : ends[k]]).sum(axis=1, dtype=np.int64)
+            for j in np.flatnonzero(most * (DEN + NUM) >= NUM * (sizes[k] + sizes[k + 1 : ends[k]])):
+                other = by[k + 1 + j]
+                if self.root(i) != self.root(other) and _close(self.sets[i], self.sets[other]):
+                    self.link(i, other)
 
     def region(self, members: list[int]) -> None:
         roots = {self.root(i) for i in members}
