@@ -38,7 +38,8 @@ from tessera.llm._text import U, Words, chunks, mix
 
 FOLDS, HELD = 7, 2
 MU = 64.0
-CHUNK = 16 << 20
+CHUNK = 6 << 20
+SHARDS = 2  # shards a shuffle partition
 FREQUENT = 8  # a word with over 1 / (FREQUENT * shards) of all tokens is spread
 LEVELS = 1 << 16
 _END, _BEGIN = U(0x1D8E4E27C47D124F), U(0x71C9BF9A4DD5B7A3)
@@ -213,6 +214,35 @@ def _small(a: np.ndarray) -> np.ndarray:
     return a.astype(np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32)
 
 
+def _packed(raw: np.ndarray, off: np.ndarray, hot: np.ndarray, shards: int) -> Iterator[tuple]:
+    """By shard: words, steps of the entries' word numbers, contexts and their numbers, texts and their numbers, counts."""
+    word, context, text = _grams(raw, off)
+    values, number = np.unique(np.concatenate((word, [_BEGIN])), return_inverse=True)
+    before = np.empty(len(word), np.int64)
+    before[1:] = number[: len(word) - 1]
+    before[context == _BEGIN] = number[-1]
+    # a distinct (word, context, text) as one integer: its sorted order is by word, context and text
+    n, t = len(values), len(off) - 1
+    code, count = np.unique((number[: len(word)] * n + before) * t + text, return_counts=True)
+    pair, ti = code // t, code % t
+    wi, ci = pair // n, pair % n
+    key = values[wi]
+    if len(hot):
+        often = np.isin(values, hot)[wi]
+        key[often] = mix(key[often] ^ mix(values[ci[often]]))
+    shard = (mix(key) % U(shards)).astype(np.uint16 if shards <= 1 << 16 else np.int64)
+    order = np.argsort(shard, kind="stable")
+    edge = np.searchsorted(shard[order], np.arange(shards + 1))
+    for k in range(shards):
+        own = order[edge[k] : edge[k + 1]]
+        if len(own):
+            w = wi[own]
+            new = np.concatenate(([True], w[1:] != w[:-1]))
+            contexts, c = np.unique(ci[own], return_inverse=True)
+            texts, x = np.unique(ti[own], return_inverse=True)
+            yield k, values[w[new]], np.concatenate(([0], new[1:])), values[contexts], c, texts, x, count[own]
+
+
 def _sharded(shards: int, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = np.frombuffer(frequent.value, np.int64).reshape(2, -1)[0].view(U)
@@ -222,30 +252,11 @@ def _sharded(shards: int, frequent):
             null = np.array([x is None for x in ids])
             ids = np.array([0 if x is None else x for x in ids], np.int64)
             for a, b, raw, off in chunks(batch.column("text"), CHUNK):
-                word, context, text = _grams(raw, off)
-                key = word.copy()
-                if len(hot):
-                    at = np.minimum(np.searchsorted(hot, word), len(hot) - 1)
-                    often = hot[at] == word
-                    key[often] = mix(word[often] ^ mix(context[often]))
-                shard = (mix(key) % U(shards)).astype(np.int64)
-                # distinct (shard, word, context, text) with a count
-                order = np.lexsort((text, context, word, shard))
-                s, w, c, t = shard[order], word[order], context[order], text[order]
-                new = np.flatnonzero(np.concatenate(([True], (s[1:] != s[:-1]) | (w[1:] != w[:-1]) | (c[1:] != c[:-1]) | (t[1:] != t[:-1]))))
-                count = np.diff(np.concatenate((new, [len(s)])))
-                s, w, c, t = s[new], w[new], c[new], t[new]
-                edge = np.searchsorted(s, np.arange(shards + 1))
                 rows = {"shard": [], "blob": []}
-                for k in range(shards):
-                    lo, hi = edge[k], edge[k + 1]
-                    if lo == hi:
-                        continue
-                    words, wi = np.unique(w[lo:hi], return_inverse=True)
-                    contexts, ci = np.unique(c[lo:hi], return_inverse=True)
-                    texts, ti = np.unique(t[lo:hi], return_inverse=True)
+                for k, words, steps, contexts, ci, texts, ti, count in _packed(raw, off, hot, shards):
+                    own = a + texts
                     rows["shard"].append(k)
-                    rows["blob"].append(_pack(words, _small(np.diff(wi, prepend=0)), contexts, _small(ci), ids[a + texts], null[a + texts].astype(np.uint8), gs[a + texts].astype(np.int64), train[a + texts].astype(np.uint8), _small(ti), _small(count[lo:hi])))
+                    rows["blob"].append(_pack(words, _small(steps), contexts, _small(ci), ids[own], null[own].astype(np.uint8), gs[own].astype(np.int64), train[own].astype(np.uint8), _small(ti), _small(count)))
                 yield pa.RecordBatch.from_pydict(rows, pa.schema([("shard", pa.int32()), ("blob", pa.binary())]))
 
     return run
@@ -309,7 +320,7 @@ def score(docs: DataFrame) -> DataFrame:
     vocabulary = cut(base.where(train).select("text").mapInArrow(_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "words")
     n, v = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     ends = vocabulary.where(F.col("h") == int(_END.view(np.int64))).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = SHARDS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     often = vocabulary.where(F.col("n") > n / (FREQUENT * shards)).collect()  # fewer than FREQUENT * shards words
     hot = np.array(sorted(((r.h, r.n) for r in often), key=lambda x: x[0] % (1 << 64)), np.int64).reshape(-1, 2).T
     frequent = spark.sparkContext.broadcast(hot.tobytes())
