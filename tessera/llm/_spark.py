@@ -65,6 +65,14 @@ def drop_table(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on texts and sets reach Python by at most ``rows`` rows at a time: a batch of the default 10,000 takes
+    tens of MB several times over, on both sides, in each task."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def text_of(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text (null: empty) and the named columns only, so extra or clashing columns never matter."""
     return docs.select("doc_id", F.coalesce(docs["text"], F.lit("")).alias("text"), *more)

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm._bitmap import bit_map, marked
 from tessera.llm._graph import components
-from tessera.llm._spark import cut, drop_table
+from tessera.llm._spark import cut, drop_table, small_batches
 from tessera.llm._text import U, Words, chunks, mix, shingle_sets
 
 NUM, DEN = 75, 100  # similarity of 0.75 or more
@@ -262,6 +262,7 @@ def _divide(regions: DataFrame) -> DataFrame:
 def link(docs: DataFrame, size: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id for every document."""
     spark = docs.sparkSession
+    small_batches(spark)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sig = cut(base.mapInArrow(_signatures, "doc_id long, n long, d1 long, d2 long, last long, omit int, prefix array<long>"), "signatures")
     some = sig.where("n > 0 and doc_id is not null")
