@@ -80,7 +80,7 @@ def sets_of(column: pa.Array, size: int = 5) -> Iterator[np.ndarray]:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, n, two digests of the set, the prefix (null where the task has had the same set)."""
+    """doc_id, n, two digests of the set, the prefix (null where the doc_id is, and where the task has had the same set of another)."""
     had: set[tuple[int, int]] = set()
     shape = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("last", pa.int64()), ("omit", pa.int32()), ("prefix", pa.list_(pa.int64()))])
     for batch in batches:
@@ -89,8 +89,10 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = len(s)
             d = (int(mix(s).sum(dtype=U).view(np.int64)), int(mix(s ^ U(0x5DEECE66D)).sum(dtype=U).view(np.int64))) if n else (0, 0)
             k = prefix_length(n)
-            rows.append((doc_id, n, *d, int(s[k - 1]) if n else 0, may_omit(n), s[:k].view(np.int64) if n and d not in had else None))
-            had.add(d)
+            first = n > 0 and doc_id is not None and d not in had
+            rows.append((doc_id, n, *d, int(s[k - 1]) if n else 0, may_omit(n), s[:k].view(np.int64) if first else None))
+            if first:
+                had.add(d)
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), shape, strict=True)], schema=shape)
 

@@ -108,3 +108,11 @@ def test_edges(empty, odd):
 def test_other_seed(spark):
     rows = corpus(8, 40)
     assert result(spark.createDataFrame(rows, SCHEMA)) == brute(rows)
+
+
+def test_null_ids_take_no_prefix_from_their_copies(spark):
+    w = words(random.Random(4), 100)
+    near = " ".join([*w[:50], "changed", *w[51:]])
+    rows = [(None, " ".join(w), None, None, 0, ""), (1, " ".join(w), None, None, 0, ""), (2, near, None, None, 0, "")]
+    got = {(r.doc_id, r.component_id) for r in nj.link(spark.createDataFrame(rows, SCHEMA).coalesce(1)).collect()}
+    assert got == {(None, None), (1, 1), (2, 1)}
