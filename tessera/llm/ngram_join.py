@@ -8,24 +8,28 @@ also gets the documents in its triangle-inequality window. Regions are made in l
    hashes, two documents within r share a shingle among the first n - ceil(t n) + 1 of each (t = 1 - r): that prefix
    is the document's window. Prefixes are taken longer by e, so that linked documents share at least 1 + e of it, and
    each document may leave out its most crowded pivots (common lines) as long as a shared one must remain.
-2. Document pivots. A crowded region takes one of its documents as pivot; whatever is within r of the pivot is linked
-   to it. A region whose documents are then not all in one component is joined recursively: documents go to the
-   nearest of several pivots, and by the window d(x, p) <= d(x, home) + 2r (and < tau + r) to others; documents that
-   are far from all pivots form a region of their own, with those at >= tau - r. Small regions are compared in full.
+2. Document pivots. Crowded regions with the same document as pivot are one; each is joined in full. One of more than
+   REGION documents is split recursively: documents go to the nearest of several pivots, and by the window
+   d(x, p) <= d(x, home) + 2r (and < tau + r) to others; documents that are far from all pivots form a region of their
+   own, with those at >= tau - r. What pivots don't split is compared block by block.
+
+Links are counted, not listed: each document gets the number of other documents linked with it. Regions overlap, so rows
+carry tags of the earlier regions of their document, and a pair that shares a tag has been counted there.
 
 All tests are exact (whole shingle sets are intersected); regions and windows only say which pairs need one.
 
 Scale: equal sets are one node. Only repeated prefix shingles are shuffled with their documents (a bit map of fixed
-size sieves them); whole sets are made again only for documents that take part in a test. Crowded regions yield pairs
-with their pivot (linear), small ones all pairs (at most SMALL a document); nothing is capped or dropped.
+size sieves them); whole sets are made again only for documents that take part in a test. Small regions yield all pairs
+(at most SMALL a document), crowded ones a row a document; nothing is capped or dropped.
 
 Edge cases: null text is empty; a text without words has an empty set and is linked with nothing; fewer than five words
-give one shingle, the whole sequence; rows that share a doc_id are one document; a null doc_id is linked with nothing;
-an empty table gives an empty result. Extra columns are ignored.
+give one shingle, the whole sequence; rows that share a doc_id are one document (links of its different texts are
+added up); a null doc_id is linked with nothing; an empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,9 +49,9 @@ CROWDED = 8
 MAP_BITS = 27
 ID_BITS = 24
 REGION = 2048
-LEAF = 48
 PIVOTS = 8
-BIN_BITS = 10
+RARE = 24  # values in so few documents of a region are counted pair by pair
+PAIRS, COLUMNS = 1 << 21, 2048
 TAU = 0.5
 SHRINK, GROW = 0.9, 1.5  # a split must leave no part of over 0.9 of the region, and at most 1.5 times its rows
 LEVELS = 6
@@ -147,56 +151,61 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("x").filter(pa.array(on, pa.bool_())), batch.column("y").filter(pa.array(on, pa.bool_()))], names=["x", "y"])
 
 
+def shared(lists: list[np.ndarray]) -> np.ndarray:
+    """How many values each two of the lists (of different values) share: rare values pair by pair, others by products of
+    matrices with one column for all values that stand in the same lists."""
+    n = len(lists)
+    both = np.zeros((n, n), np.float32)  # exact below 2**24
+    values, who = np.concatenate([x.view(U) for x in lists]), np.repeat(np.arange(n), [len(x) for x in lists])
+    order = np.argsort(values, kind="stable")
+    values, who = values[order], who[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(values)), bool), values[1:] != values[:-1])))
+    held = np.diff(np.append(first, len(values)))
+    for d in range(2, RARE + 1):
+        at = first[held == d]
+        i, j = np.triu_indices(d, 1)
+        step = max(1, PAIRS // len(i))
+        for k in range(0, len(at), step):
+            rows = who[at[k : k + step, None] + np.arange(d)]
+            np.add.at(both, (rows[:, i].ravel(), rows[:, j].ravel()), np.float32(1))
+    both += both.T
+    often = held > RARE
+    if often.any():
+        of = np.add.reduceat(mix(who.astype(U) + U(1)), first)[often]  # names the lists that hold a value
+        _, one, weight = np.unique(of, return_index=True, return_counts=True)
+        at, held = first[often][one], held[often][one]
+        for k in range(0, len(at), COLUMNS):
+            x = np.zeros((n, len(at[k : k + COLUMNS])), np.float32)
+            for c, (f, m) in enumerate(zip(at[k : k + COLUMNS].tolist(), held[k : k + COLUMNS].tolist(), strict=True)):
+                x[who[f : f + m], c] = 1
+            both += (x * weight[k : k + COLUMNS].astype(np.float32)) @ x.T
+    return both
+
+
 class _Join:
-    """The exact join of one region: links between documents that are not connected yet."""
-
-    def __init__(self, sets: list[np.ndarray], labels: list[int]):
-        self.sets, self.found = sets, []
-        names = {x: i for i, x in enumerate(dict.fromkeys(labels))}
-        self.group = [names[x] for x in labels]
-        self.parent = list(range(len(names)))
-
-    def root(self, i: int) -> int:
-        g = self.group[i]
-        while self.parent[g] != g:
-            self.parent[g] = self.parent[self.parent[g]]
-            g = self.parent[g]
-        return g
-
-    def link(self, i: int, j: int) -> None:
-        self.found.append((i, j))
-        self.parent[self.root(i)] = self.root(j)
-
-    def leaf(self, members: list[int]) -> None:
-        """All pairs; a bound from counts of hashes by bin (sets share at most the smaller count of each bin) spares most tests."""
-        by = sorted(members, key=lambda i: len(self.sets[i]))
-        sizes = np.array([len(self.sets[i]) for i in by])
-        bins = np.array([np.bincount((self.sets[i] >> U(63 - BIN_BITS)).astype(np.int64), minlength=1 << BIN_BITS) for i in by], np.uint16 if sizes[-1] < 1 << 16 else np.uint32)
-        ends = np.searchsorted(sizes, sizes * DEN // NUM, side="right")
-        for k, i in enumerate(by):
-            most = np.minimum(bins[k], bins[k + 1 : ends[k]]).sum(axis=1, dtype=np.int64)
-            for j in np.flatnonzero(most * (DEN + NUM) >= NUM * (sizes[k] + sizes[k + 1 : ends[k]])):
-                other = by[k + 1 + j]
-                if self.root(i) != self.root(other) and _close(self.sets[i], self.sets[other]):
-                    self.link(i, other)
+    """The exact join of one region: ``found`` connects what is linked, ``links`` adds up the weights of the documents
+    linked with each, but for pairs that share a tag (they are counted elsewhere)."""
+
+    def __init__(self, sets: list[np.ndarray], weights: list[int], tags: list[np.ndarray] | None = None):
+        self.sets, self.weights, self.tags = sets, np.array(weights, np.int64), tags
+        self.found, self.links = [], np.zeros(len(sets), np.int64)
 
     def region(self, members: list[int]) -> None:
-        roots = {self.root(i) for i in members}
-        if len(roots) < 2:
-            return
-        if len(members) <= LEAF:
-            return self.leaf(members)
-        r = 1 - NUM / DEN
-        step = max(1, len(members) // PIVOTS)
-        pivots = far_apart([self.sets[i] for i in members[::step][:PIVOTS]])
-        d = np.array([[distance(self.sets[i], p) for p in pivots] for i in members])
-        near = d.min(axis=1)
-        parts = [[i for i, x in zip(members, near, strict=True) if x >= TAU - r - EPS]]
-        parts += [[i for i, x, m in zip(members, d[:, k], near, strict=True) if x <= min(m + 2 * r, TAU + r) + EPS] for k in range(len(pivots))]
-        if max(map(len, parts)) > SHRINK * len(members) or sum(map(len, parts)) > GROW * len(members):
-            return self.leaf(members)  # the pivots don't tell these apart
-        for part in parts:
-            self.region(part)
+        ids = np.array(members)
+        sizes = np.array([len(self.sets[i]) for i in members])
+        close = shared([self.sets[i] for i in members]).astype(np.int64) * (DEN + NUM) >= NUM * (sizes[:, None] + sizes)
+        np.fill_diagonal(close, False)
+        root = np.full(len(ids), -1)
+        for i in range(len(ids)):
+            if root[i] < 0:
+                root[i], at = i, np.array([i])
+                while len(at):
+                    at = np.flatnonzero(close[at].any(axis=0) & (root < 0))
+                    root[at] = i
+        self.found += [(members[i], members[r]) for i, r in enumerate(root.tolist()) if i != r]
+        if self.tags is not None:
+            close &= shared([self.tags[i] for i in members]) == 0
+        self.links[ids] += close @ self.weights[ids]
 
 
 def far_apart(sets: list[np.ndarray]) -> list[np.ndarray]:
@@ -209,32 +218,41 @@ def far_apart(sets: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def _join_region(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("rep").drop_duplicates("rep")
+    pdf = pdf.sort_values(["rep", "shingles"]).drop_duplicates("rep")
     ids = pdf["rep"].tolist()
-    j = _Join([np.frombuffer(b, U) for b in pdf["shingles"]], pdf["label"].tolist())
+    j = _Join([np.frombuffer(b, U) for b in pdf["shingles"]], pdf["weight"].tolist(), [np.array(t, np.int64) for t in pdf["tags"]])
     j.region(list(range(len(ids))))
-    return pd.DataFrame([(ids[a], ids[b]) for a, b in j.found], columns=["x", "y"])
+    root = dict(j.found)
+    return pd.DataFrame({"x": ids, "y": [ids[root.get(i, i)] for i in range(len(ids))], "links": j.links})
+
+
+def _tag(region: str, part: int) -> int:
+    return int.from_bytes(hashlib.blake2b(f"{region}/{part}".encode(), digest_size=8).digest(), "little", signed=True)
 
 
 def _assigned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of large regions with their region's candidate pivots -> rows of the parts."""
+    """Rows of large regions with their region's candidate pivots -> rows of the parts, each tagged with the document's
+    earlier parts: of the parts that a pair shares the first one counts it."""
     r = 1 - NUM / DEN
     for pdf in batches:
         out = []
-        for region, rep, label, blob, size, ps in zip(*(pdf[c] for c in ("region", "rep", "label", "shingles", "size", "pivots")), strict=True):
+        for region, rep, weight, tags, blob, size, ps in zip(*(pdf[c] for c in ("region", "rep", "weight", "tags", "shingles", "size", "pivots")), strict=True):
             s = np.frombuffer(blob, U)
             d = [distance(s, p) for p in far_apart([np.frombuffer(p["shingles"], U) for p in (() if ps is None else ps)])]
             near = min(d, default=1.0)
-            out += [(region, f"{region}/{k}", size, rep, label, blob) for k, x in enumerate(d) if x <= min(near + 2 * r, TAU + r) + EPS]
-            if near >= TAU - r - EPS:
-                out.append((region, f"{region}/far", size, rep, label, blob))
-        yield pd.DataFrame(out, columns=["parent", "region", "size", "rep", "label", "shingles"])
+            parts = [-1] if near >= TAU - r - EPS else []  # -1: far from all pivots
+            parts += [k for k, x in enumerate(d) if x <= min(near + 2 * r, TAU + r) + EPS]
+            had = list(tags)
+            for k in parts:
+                out.append((region, f"{region}/{k}", size, rep, weight, list(had), blob))
+                had.append(_tag(region, k))
+        yield pd.DataFrame(out, columns=["parent", "region", "size", "rep", "weight", "tags", "shingles"])
 
 
 def _divide(regions: DataFrame) -> DataFrame:
-    """Regions of more than REGION documents are split by pivots, as in ``_Join.region``, until none is so large; a
-    region that its pivots don't split is dealt out as pairs of blocks, each to be compared in full."""
-    shape = "parent string, region string, size long, rep long, label long, shingles binary"
+    """Regions of more than REGION documents are split by pivots until none is so large; a region that its pivots don't
+    split is dealt out as pairs of blocks, each to be compared in full. Tags see to it that each pair counts once."""
+    shape = "parent string, region string, size long, rep long, weight long, tags array<long>, shingles binary"
     done, whole = regions.where("false"), regions.where("false")
     for level in range(LEVELS):
         sizes = regions.groupBy("region").agg(F.count(F.lit(1)).alias("size"))
@@ -247,22 +265,24 @@ def _divide(regions: DataFrame) -> DataFrame:
         # about PIVOTS documents of each region by hash, so no region is gathered to choose them
         chosen = large.where(F.pmod(F.xxhash64("rep", F.lit(level)), F.col("size")) < PIVOTS)
         pivots = chosen.groupBy("region").agg(F.sort_array(F.collect_list(F.struct("rep", "shingles"))).alias("pivots"))
-        split = cut(large.join(pivots, "region", "left").select("region", "rep", "label", "shingles", "size", "pivots").mapInPandas(_assigned, shape), "split")
+        split = cut(large.join(pivots, "region", "left").select("region", "rep", "weight", "tags", "shingles", "size", "pivots").mapInPandas(_assigned, shape), "split")
         parts = split.groupBy("parent", "region").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"))
         good = parts.groupBy("parent").agg(F.max("n").alias("most"), F.sum("n").alias("all"), F.first("size").alias("size"))
         good = good.where((F.col("most") <= SHRINK * F.col("size")) & (F.col("all") <= GROW * F.col("size"))).select("parent")
         whole = whole.unionByName(large.join(good, large["region"] == good["parent"], "left_anti").drop("size"))
-        regions = split.join(good, "parent", "left_semi").select("region", "rep", "label", "shingles")
+        regions = split.join(good, "parent", "left_semi").select("region", "rep", "weight", "tags", "shingles")
     rest = whole.unionByName(regions)
     sizes = rest.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / (REGION // 2)).alias("blocks"))
     rest = rest.join(sizes, "region").withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     rest = rest.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("o"))
-    rest = rest.select(F.concat_ws("/", "region", F.least("b", "o"), F.greatest("b", "o")).alias("region"), "rep", "label", "shingles")
+    # a pair inside a block counts where the block meets itself
+    tags = F.when(F.col("b") == F.col("o"), F.col("tags")).otherwise(F.concat("tags", F.array(F.xxhash64("region", "b"))))
+    rest = rest.select(F.concat_ws("/", "region", F.least("b", "o"), F.greatest("b", "o")).alias("region"), "rep", "weight", tags.alias("tags"), "shingles")
     return done.unionByName(rest)
 
 
 def link(docs: DataFrame, size: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id for every document."""
+    """doc_id, n_shingles, component_id, n_links (how many other documents it is linked with) for every document."""
     spark = docs.sparkSession
     small_batches(spark)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -291,7 +311,10 @@ def link(docs: DataFrame, size: int = 5) -> DataFrame:
     pivot = F.min_by("rep", F.xxhash64("rep")).alias("pivot")
     regions = cut(kept.join(kept.groupBy("s").agg(F.count(F.lit(1)).alias("c"), pivot).where("c > 1"), "s"), "regions")
 
-    # 2. pairs: all of a small region, those with the pivot of a crowded one
+    # 2. pairs of small regions, but for those that also share a crowded one
+    crowded = cut(regions.where(F.col("c") > SMALL).select("pivot", "rep").distinct(), "crowded")
+    groups = cut(crowded.groupBy("rep").agg(F.sort_array(F.collect_set("pivot")).alias("groups")), "groups")
+    weights = members.groupBy("rep").agg(F.count_distinct("doc_id").alias("weight"))
     small = regions.where(F.col("c") <= SMALL).select("s", "rep")
     pairs = small.select("s", F.col("rep").alias("x")).join(small.select("s", F.col("rep").alias("y")), "s").where("x < y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"))
     facts = info.join(omitted, "rep", "left").select("rep", "n", "last", F.coalesce("o", F.lit(0)).alias("o"))
@@ -301,24 +324,29 @@ def link(docs: DataFrame, size: int = 5) -> DataFrame:
     need = F.ceil(F.lit(NUM) * (F.col("nx") + F.col("ny")) / (NUM + DEN))
     beyond = F.when(F.col("lastx") <= F.col("lasty"), F.col("nx") - F.col("kx")).otherwise(F.col("ny") - F.col("ky"))  # shared shingles past both prefixes, at most
     pairs = pairs.where((F.least("nx", "ny") * DEN >= F.greatest("nx", "ny") * NUM) & (F.col("c") + F.col("ox") + F.col("oy") + beyond >= need)).select("x", "y")
-    stars = regions.where((F.col("c") > SMALL) & (F.col("rep") != F.col("pivot"))).select(F.least("rep", "pivot").alias("x"), F.greatest("rep", "pivot").alias("y"))
-    pairs = cut(pairs.union(stars).distinct(), "pairs")
-    linked = _verify(base, pairs, size)
-
-    # 3. crowded regions that are still of several components are joined by document pivots
-    labels = cut(components(linked), "labels")
-    open_ = regions.where(F.col("c") > SMALL).select("pivot", "rep").distinct().join(labels, F.col("rep") == F.col("node"), "left").select("pivot", "rep", F.coalesce("component", "rep").alias("label"))
-    open_ = cut(open_, "open")
-    mixed = open_.groupBy("pivot").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("pivot")
-    todo = cut(open_.join(mixed, "pivot"), "todo")
-    if todo.limit(1).count():
-        sets = _sets_of(base, todo.select(F.col("rep").alias("id")), size)
-        filled = cut(todo.join(sets, F.col("rep") == F.col("doc_id")).select(F.col("pivot").cast("string").alias("region"), "rep", "label", "shingles"), "regions")
-        more = _divide(filled).groupBy("region").applyInPandas(_join_region, "x long, y long")
-        labels = cut(components(linked.union(cut(more, "links"))), "labels")
-
-    found = members.select("doc_id", "rep").join(labels, F.col("rep") == F.col("node"), "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
-    return sizes.join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    in_ = lambda side: groups.select(F.col("rep").alias(side), F.col("groups").alias(f"g{side}"))
+    pairs = pairs.join(in_("x"), "x", "left").join(in_("y"), "y", "left").where(~F.coalesce(F.arrays_overlap("gx", "gy"), F.lit(False)))
+    pairs = cut(pairs.select("x", "y").distinct(), "pairs")
+    linked = _verify(base, pairs, size).distinct()
+    edges, of = linked, lambda side: weights.select(F.col("rep").alias(side), "weight")
+    links = linked.join(of("y"), "y").select(F.col("x").alias("rep"), F.col("weight").alias("links"))
+    links = links.union(linked.join(of("x"), "x").select("y", "weight"))
+
+    # 3. crowded regions are joined in full; of those that a pair shares the one with the smallest pivot counts it
+    if crowded.limit(1).count():
+        sets = _sets_of(base, groups.select(F.col("rep").alias("id")), size)
+        todo = crowded.join(groups, "rep").join(weights, "rep").select("pivot", "rep", "weight", F.expr("filter(groups, g -> g < pivot)").alias("tags"))
+        filled = cut(todo.join(sets, F.col("rep") == F.col("doc_id")).select(F.col("pivot").cast("string").alias("region"), "rep", "weight", "tags", "shingles"), "regions")
+        more = cut(_divide(filled).groupBy("region").applyInPandas(_join_region, "x long, y long, links long"), "links")
+        drop_table(filled)
+        edges = edges.union(more.where("x <> y").select("x", "y"))
+        links = links.union(more.select("x", "links"))
+    labels = cut(components(edges), "labels")
+
+    links = links.groupBy("rep").agg(F.sum("links").alias("links"))
+    found = members.select("doc_id", "rep").distinct().join(weights, "rep").join(links, "rep", "left").join(labels, F.col("rep") == F.col("node"), "left")
+    found = found.groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"), F.sum(F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return sizes.join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

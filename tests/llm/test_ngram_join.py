@@ -116,3 +116,53 @@ def test_null_ids_take_no_prefix_from_their_copies(spark):
     rows = [(None, " ".join(w), None, None, 0, ""), (1, " ".join(w), None, None, 0, ""), (2, near, None, None, 0, "")]
     got = {(r.doc_id, r.component_id) for r in nj.link(spark.createDataFrame(rows, SCHEMA).coalesce(1)).collect()}
     assert got == {(None, None), (1, 1), (2, 1)}
+
+
+def links_of(rows):
+    """Number of linked others of each document, by all pairs."""
+    sets, n = {}, Counter()
+    for i, t, *_ in rows:
+        w = WORD.findall((t or "").translate(FOLD))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    for i in sets:
+        for j in sets:
+            both = len(sets[i] & sets[j])
+            n[i] += i != j and both > 0 and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both)
+    return dict(n)
+
+
+def counted(df):
+    return {r.doc_id: r.n_links for r in nj.link(df).collect()}
+
+
+def test_number_of_links(docs, rows):
+    assert counted(docs) == links_of(rows)
+
+
+def test_number_of_links_in_crowded_regions(spark, monkeypatch):
+    """A family of near copies in which some pairs are too far apart, exact copies of some, and a passage in every document."""
+    rng = random.Random(6)
+    passage, rows = words(rng, 60), []
+    for k in range(6):
+        base = words(rng, 60) + passage
+        for _ in range(12):
+            w = [*base]
+            for _ in range(rng.randrange(5)):
+                w[rng.randrange(60)] = f"new{rng.random()}"
+            rows += [(len(rows) + c, " ".join(w), None, None, 0, "") for c in range(1 + rng.randrange(2))]
+    want = links_of(rows)
+    assert len(set(want.values())) > 3
+    monkeypatch.setattr(nj, "SMALL", 4)
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert counted(df) == want
+    monkeypatch.setattr(nj, "CROWDED", 10**6)
+    monkeypatch.setattr(nj, "REGION", 16)
+    monkeypatch.setattr(nj, "LEVELS", 2)
+    assert counted(df) == want
+
+
+def test_shared():
+    rng = random.Random(7)
+    lists = [np.array(sorted(rng.sample(range(300), rng.randrange(120))), np.int64) for _ in range(90)]
+    both = nj.shared(lists)
+    assert all(both[i, j] == len(np.intersect1d(lists[i], lists[j])) for i in range(90) for j in range(90) if i != j)
