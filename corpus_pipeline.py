@@ -5,7 +5,7 @@ reads it again as the next stage's documents. All stages but the last return the
 ``copies``, how often the mix takes the document.
 
 Edge cases: every stage takes empty tables, null columns and extra columns (dropped here); a null doc_id is never linked
-with anything and goes through; of rows that repeat a doc_id one stays.
+with anything, and each such row is judged by itself; of rows that repeat a doc_id one stays.
 """
 
 from __future__ import annotations
@@ -46,9 +46,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
-    docs = docs.select(*COLUMNS)
-    found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    # a row is known by id and text, so that one without an id is decided by itself
+    docs = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("row"))
+    found = decontaminate.leaks(docs.select(F.col("row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return docs.join(found.select(F.col("doc_id").alias("row")).distinct(), "row", "left_anti").select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

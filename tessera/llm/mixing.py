@@ -18,7 +18,7 @@ from __future__ import annotations
 import random
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm._spark import cut
@@ -117,20 +117,21 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, cap=MOST_COPIES) -> DataFr
     return spark.createDataFrame(data, "source string, source_size long, target double, n long, rank int")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, cap: int = MOST_COPIES, block_units: int = BLOCK_UNITS, seed: int = 5) -> DataFrame:
-    """doc_id, size, source, source_size, target, copies, taken for every row of ``docs`` (doc_id, text, source)."""
-    sizes = cut(docs.select("doc_id", "source", F.coalesce(F.expr(f"regexp_count(text, r'{WORD}')"), F.lit(0)).cast("long").alias("size")), "sizes")
+def mix(docs: DataFrame, weights=WEIGHTS, cap: int = MOST_COPIES, block_units: int = BLOCK_UNITS, seed: int = 5, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source, source_size, target, copies, taken for every row of ``docs`` (doc_id, text, source), and the
+    columns to carry."""
+    sizes = cut(docs.select("doc_id", "source", *carry, F.coalesce(F.expr(f"regexp_count(text, r'{WORD}')"), F.lit(0)).cast("long").alias("size")), "sizes")
     targets = source_targets(sizes, weights, cap)
     few = targets.count() <= BROADCAST_SOURCES
     t = F.broadcast(targets) if few else targets
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     units = (
         sizes.alias("s").join(t.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source")))
-        .select("doc_id", "s.source", "size", "source_size", "target", "n", "rank", ratio.alias("ratio"))
+        .select("doc_id", "s.source", *carry, "size", "source_size", "target", "n", "rank", ratio.alias("ratio"))
         .withColumn("whole", F.floor(F.col("ratio") + EPS))
         .withColumn("frac", F.greatest(F.lit(0.0), F.col("ratio") - F.col("whole")))
         .withColumn("blocks", F.ceil(F.col("n") / block_units))
-        .withColumn("block", F.pmod(F.xxhash64("doc_id", "size"), F.col("blocks")))
+        .withColumn("block", F.pmod(F.xxhash64("doc_id", "size", *carry), F.col("blocks")))
         .drop("n", "ratio")
     )
     shape, done = units.schema, None
@@ -149,14 +150,17 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = MOST_COPIES, block_units: i
         units = flown.where(open_).withColumn("blocks", fewer).withColumn("block", F.pmod(F.col("block"), F.col("blocks"))).select(shape.names)
         blocks = -(-blocks * 2 // block_units)
     copies = F.col("whole") + F.round("frac").cast("long")
-    return result.select("doc_id", "size", "source", "source_size", "target", copies.cast("long").alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))
+    return result.select("doc_id", "size", "source", "source_size", "target", copies.cast("long").alias("copies"), (F.col("size") * copies).cast("long").alias("taken"), *carry)
 
 
 def with_copies(docs: DataFrame, **options) -> DataFrame:
     """The documents that the mix takes, each with its number of ``copies``."""
-    plan = mix(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("__copies")).where("__copies > 0").withColumnRenamed("doc_id", "__id")
-    joined = docs.join(plan, docs["doc_id"].eqNullSafe(F.col("__id"))).drop("__id")
-    return joined.withColumnRenamed("__copies", "copies")
+    # rows are told apart by everything in them, and those that are equal by a number: each gets its own decision
+    row = F.xxhash64(F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"}))
+    number = F.row_number().over(Window.partitionBy("__row").orderBy("__row"))
+    rows = docs.withColumn("__row", row).withColumn("__number", number)
+    plan = mix(rows, carry=("__row", "__number"), **options).where("copies > 0").select("__row", "__number", "copies")
+    return rows.join(plan, ["__row", "__number"]).drop("__row", "__number")
 
 
 def take(docs: DataFrame, **options) -> DataFrame:

@@ -75,3 +75,12 @@ def test_edges(empty, odd):
     assert mixing.mix(empty).collect() == []
     assert len(mixing.mix(odd).collect()) == 6
     assert "copies" in mixing.with_copies(odd).columns and mixing.take(empty).collect() == []
+
+
+def test_rows_without_id_and_equal_rows_get_their_own_copies(spark):
+    rows = [(None, f"word w{i % 150} " * 5, "ab"[i % 2]) for i in range(200)] + [(1, "same text again", "c")] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan, got = mixing.mix(docs).collect(), mixing.with_copies(docs).collect()
+    assert {(r.source, r.target) for r in plan} and len(got) < len(rows)
+    for source, target in {(r.source, r.target) for r in plan}:
+        assert abs(sum(len(r.text.split()) * r.copies for r in got if r.source == source) - target) <= 10

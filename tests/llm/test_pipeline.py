@@ -60,3 +60,10 @@ def test_empty(spark, folder, empty, name, stage):
 @pytest.mark.parametrize("name,stage", cp.STAGES)
 def test_odd_rows(spark, folder, odd, name, stage):
     assert stage(spark, odd, folder).count() <= 18
+
+
+def test_a_leak_without_id_goes_and_other_rows_without_id_stay(spark, folder):
+    item = spark.read.parquet(f"{folder}/benchmark.parquet").first().text
+    rows = [(None, f"some words before {item}", "en", "a", 1, "x"), (None, "a text of its own without an item", "en", "a", 1, "x"), (5, "another one that stays", "en", "a", 1, "x")]
+    left = cp.benchmark_leaks(spark, spark.createDataFrame(rows, SCHEMA), folder).collect()
+    assert {(r.doc_id, r.text) for r in left} == {(r[0], r[1]) for r in rows[1:]}
