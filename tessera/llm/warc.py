@@ -33,6 +33,7 @@ VERSION = b"WARC/1.1\r\n"
 RANGE_BYTES = 4 << 20
 READ_BYTES = 1 << 18
 PROBE_BYTES = 512
+MOST_TASKS = 50_000
 
 
 def _open(uri: str, write: bool = False):
@@ -110,7 +111,21 @@ def write(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     manifest = typed.mapInPandas(run, "path string, bytes long, records long")
     listed = new_path(spark, "warc-manifest")
     manifest.write.parquet(listed)
-    return spark.read.schema(manifest.schema).parquet(listed)
+    out = spark.read.schema(manifest.schema).parquet(listed)
+    _drop_unlisted(out, top)
+    return out
+
+
+def _drop_unlisted(manifest: DataFrame, top: str) -> None:
+    """Delete what attempts left behind that didn't end well (names of archives only: one a task of the writer)."""
+    spark = manifest.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(top)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.exists(folder):
+        good = {r.path.rsplit("/", 1)[1] for r in manifest.select("path").toLocalIterator()}
+        for f in store.listStatus(folder):
+            if f.getPath().getName() not in good:
+                store.delete(f.getPath(), False)
 
 
 class _Source:
@@ -175,10 +190,17 @@ def records_in(src: _Source, start: int, end: int) -> Iterator[tuple[dict[str, s
         at = after
 
 
+def reading_tasks(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> int:
+    """One task a range, up to MOST_TASKS; beyond that a task reads several ranges, one after another."""
+    n = manifest.agg(F.sum(F.greatest(F.lit(1), F.ceil(F.col("bytes") / range_bytes)))).first()[0] or 1
+    return int(min(n, MOST_TASKS))
+
+
 def read(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload (null for revisits) of all records."""
     ranges = manifest.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))).alias("start"))
-    ranges = ranges.repartition(F.xxhash64("path", "start"))
+    # a fixed number of partitions: adaptive execution must not merge ranges, which are small rows with much work behind them
+    ranges = ranges.repartition(reading_tasks(manifest, range_bytes))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -19,7 +19,8 @@ def digest(html):
 
 
 @pytest.mark.parametrize("range_bytes", [97, 4096, 4 << 20])
-def test_round_trip(spark, range_bytes):
+def test_round_trip(spark, range_bytes, monkeypatch):
+    monkeypatch.setattr(warc, "MOST_TASKS", 16)
     rows = pages()
     m = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3))
     assert m.agg({"records": "sum"}).first()[0] == len(rows)
@@ -37,6 +38,24 @@ def test_round_trip(spark, range_bytes):
         assert r.record_type == "revisit" or bytes(r.payload) == html.encode()
 
 
+def test_many_ranges_are_many_tasks(spark):
+    m = warc.write(spark.createDataFrame(pages(), "page_id long, url string, html string").coalesce(1))
+    assert warc.reading_tasks(m, 4096) == -(-m.first().bytes // 4096) > 20
+    back = warc.read(m, 4096)
+    back.count()
+    assert back.rdd.getNumPartitions() == warc.reading_tasks(m, 4096)
+
+
+def test_archives_of_failed_attempts_go(spark):
+    import os
+
+    m = warc.write(spark.createDataFrame(pages(), "page_id long, url string, html string").repartition(2))
+    top = m.first().path.rsplit("/", 1)[0].removeprefix("file:").replace("//", "/")
+    open(f"{top}/left-behind.warc.gz", "wb").close()
+    warc._drop_unlisted(m, "file://" + top)
+    assert len(os.listdir(top)) == m.count()
+
+
 def test_least_bytes(spark):
     df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcdef"), (4, "u", "abcdef")], "page_id long, url string, html string")
     got = {r.page_id: r.refers_to for r in warc.read(warc.write(df, least_bytes=5)).collect()}
