@@ -1,3 +1,4 @@
+import random
 import re
 
 from tessera.llm import decontaminate as dc
@@ -26,6 +27,34 @@ def test_against_brute_force(spark, docs, rows):
     assert got == want and {k for _, k in want} >= {0, 1, 2, 3, 6, 8, 9}
 
 
+def test_search_loses_nothing_at_the_threshold(spark):
+    """Items of 1 to 1,000 shingles in documents that hold just 75 % of them, and just less."""
+    rng = random.Random(5)
+    items, docs, want = [], [], set()
+    for k, n in enumerate([1, 2, 3, 4, 5, 8, 9, 31, 32, 33, 64, 65, 100, 129, 257, 500, 1000] * 4):
+        w = [f"i{k}w{j}" for j in range(n + 4)]
+        items.append((k, " ".join(w)))
+        need = -(-3 * n // 4)
+        lost = rng.sample(range(n), n - need)
+        for more, i in ((0, 2 * k), (1, 2 * k + 1)):  # the second lacks one shingle more
+            held = sorted({*range(n)} - {*lost})[more:]
+            noise = lambda: [f"n{rng.randrange(10**9)}" for _ in range(6)]
+            docs.append((i, " ".join(x for j in held for x in [*noise(), *w[j : j + 5]])))
+            if not more:
+                want.add((i, k))
+    shape = "text string"
+    got = dc.leaks(spark.createDataFrame(docs, f"doc_id long, {shape}"), spark.createDataFrame(items, f"item_id long, {shape}")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
+    it = dc.item_shingles(spark.createDataFrame(items, f"item_id long, {shape}"))
+    assert it.where("sketched").count() < 0.5 * it.count()  # the search is by sketches, not by all shingles
+
+
+def test_clashing_names_and_null_ids(spark):
+    docs = spark.createDataFrame([(None, "a b c d e", 1, 2, 3), (3, "A B C D E F", 1, 2, 3)], "doc_id long, text string, h int, item_id int, s int")
+    items = spark.createDataFrame([(1, "a b c d e", 9, 9)], "item_id long, text string, doc_id int, h int")
+    assert {(r.doc_id, r.item_id, r.shared) for r in dc.leaks(docs, items).collect()} == {(None, 1, 1), (3, 1, 1)}
+
+
 def test_edges(spark, empty, odd):
     items = spark.createDataFrame([(1, "other text of the same id")], "item_id long, text string")
     none = items.where("false")
