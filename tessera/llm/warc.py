@@ -36,8 +36,8 @@ PROBE_BYTES = 512
 MOST_TASKS = 50_000
 
 
-def _open(uri: str, write: bool = False):
-    """An archive of the shared folder: a mounted folder (file:) by the plain file calls, any other store by Arrow's."""
+def open_shared(uri: str, write: bool = False):
+    """A file of the shared folder: a mounted folder (file:) by the plain file calls, any other store by Arrow's."""
     if uri.startswith(("file:", "/")):
         where = "/" + uri.removeprefix("file:").lstrip("/")
         if write:
@@ -93,7 +93,7 @@ def write(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
             for pdf in batches:
                 for page_id, url, html, refers in zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["refers_to"], strict=True):
                     if out is None:
-                        out = _open(path, write=True)
+                        out = open_shared(path, write=True)
                     payload = html.encode("utf-8")
                     pid = None if pd.isna(page_id) else int(page_id)
                     ref = None if pd.isna(refers) else int(refers)
@@ -207,7 +207,7 @@ def read(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
             for path, size, start in zip(pdf["path"], pdf["bytes"], pdf["start"], strict=True):
                 rows: list[tuple] = []
                 held = 0
-                with _open(path) as f:
+                with open_shared(path) as f:
                     for h, body in records_in(_Source(f, int(size)), int(start), min(int(start) + range_bytes, int(size))):
                         full = h["WARC-Type"] == "response"
                         digest = h["WARC-Payload-Digest"].removeprefix("sha1:")

@@ -41,26 +41,49 @@ def test_against_brute_force(docs, rows):
         assert g.base_score == pytest.approx(base, rel=1e-9) and g.score == pytest.approx(score, abs=1e-3 * tokens)
 
 
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b a b", 1, 2, 3, 4)], "doc_id long, text string, shard int, chunk int, train int, blob int")
+    assert lm.score(docs).first().n_tokens == 5
+
+
 def test_edges(empty, odd):
     assert lm.score(empty).collect() == []
     got = [(r.doc_id, r.held_out, r.n_tokens) for r in lm.score(odd).collect()]
     assert sorted(got, key=str) == sorted([(None, None, 61), (7, zlib.crc32(b"7") % 7 == 2, 61), (7, zlib.crc32(b"7") % 7 == 2, 61), (8, zlib.crc32(b"8") % 7 == 2, 7), (8, zlib.crc32(b"8") % 7 == 2, 61), (9, zlib.crc32(b"9") % 7 == 2, 1)], key=str)
 
 
-@pytest.mark.parametrize("n,universe", [(1, 1), (5, 7), (1000, 1200), (1000, 10**6), (3000, 2**40), (500, 2**62), (64, 2**63)])
+@pytest.mark.parametrize("n,universe", [(1, 1), (5, 7), (1000, 1200), (1000, 10**6), (3000, 2**40), (500, 2**62), (64, 2**64 - 1)])
 def test_elias_fano(n, universe):
     rng = np.random.default_rng(n)
     v = np.unique(rng.integers(0, universe, n, dtype=np.uint64))
     store = lm.Store()
-    try:
-        ef = lm.EliasFano(v, universe, store)
+    made = lm.EliasFano(store, v, universe)
+    for ef in (made, lm.EliasFano(lm.Store(np.frombuffer(b"".join(store.parts), np.uint8)))):
         assert (ef.access(np.arange(len(v))) == v).all()
         x = np.unique(np.concatenate((v, rng.integers(0, universe, n, dtype=np.uint64))))
         at, equal = ef.successor(x, np.zeros(len(x), np.int64), np.full(len(x), len(v)))
         want = np.searchsorted(v, x)
         assert (equal == np.isin(x, v)).all() and (at[equal] == want[equal]).all()
-    finally:
-        store.close()
+
+
+def test_scores_do_not_depend_on_shards_or_chunks(spark, docs, monkeypatch):
+    def run(**options):
+        return sorted((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in lm.score(docs, **options).collect())
+
+    want = run()
+    for partitions, chunk, probe in ((2, 1 << 12, 1), (9, 1 << 20, 2)):
+        monkeypatch.setattr(lm, "PROBE", probe)
+        monkeypatch.setattr(lm, "FREQUENT", 1 + partitions)
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            assert run(chunk=chunk) == want
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+def test_codes():
+    x = np.linspace(-23.9, 0, 1000)
+    assert np.abs(np.log10(lm.restored(lm.quantised(x))) - x).max() < 2e-4 and lm.restored(np.zeros(1, np.uint16))[0] == 0
 
 
 def test_probabilities_sum_to_one():
