@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import numpy as np
 import pytest
@@ -31,11 +32,13 @@ def test_against_brute_force(docs, rows):
     assert result(docs) == brute(rows)
 
 
-def test_streaming_in_small_chunks(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [0, 0x55, 255])
+def test_streaming_in_small_chunks(spark, monkeypatch, hot):
     rows = [(i, f"{i} start " + "the same passage in every text, over and over again; " * (i % 4) + f"end {i * 7}" + "y" * (97 + i), None, None, 0, "") for i in range(40)]
     monkeypatch.setattr(sd, "STREAM_ROWS", 3)
     monkeypatch.setattr(sd, "SEGMENT", 64)
-    batches = list(_contexts(rows))
+    monkeypatch.setattr(sd, "SEND_ROWS", 20)
+    batches = list(_contexts(rows, hot))
     spans = {}
     for b in sd._repeats(iter(batches)):
         for d, lo, hi in zip(*(b.column(c).to_pylist() for c in ("doc_id", "lo", "hi")), strict=True):
@@ -45,16 +48,48 @@ def test_streaming_in_small_chunks(spark, monkeypatch):
     assert result(spark.createDataFrame(rows, SCHEMA)) == want
 
 
-def _contexts(rows):
+def _contexts(rows, hot):
     import pyarrow as pa
 
     class Full:
         value = np.full(1 << 5, 255, np.uint8).tobytes()
 
+    class Some:
+        value = np.full(1 << 5, hot, np.uint8).tobytes()
+
     batch = pa.RecordBatch.from_pydict({"doc_id": [r[0] for r in rows], "g": [0] * len(rows), "text": [r[1] for r in rows]})
-    for b in sd._contexts(Full)(iter([batch])):
-        t = pa.Table.from_batches([b]).sort_by([("h", "ascending"), ("doc_id", "ascending"), ("first", "ascending")])
-        yield from t.to_batches()
+    found = []
+    for b in sd._contexts(Full, Some)(iter([batch])):
+        found.append(b)
+    t = pa.Table.from_batches(found).sort_by([("h", "ascending"), ("doc_id", "ascending"), ("first", "ascending")])
+    yield from t.to_batches()
+
+
+def test_hot_lines(spark, monkeypatch):
+    """Common lines, shorter and longer than a window, in texts that differ around them."""
+    rng = random.Random(4)
+    noise = lambda n: "".join(rng.choice("abcdefghij \n") for _ in range(n))
+    line, long = noise(70), noise(260)
+    rows = [(i, noise(rng.randrange(200)) + line + noise(5) + long[: 90 + i % 40] + noise(rng.randrange(120)) + (long if i % 3 else line) + noise(30), None, None, 0, "") for i in range(150)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    want = brute(rows)
+    assert result(docs) == want
+    monkeypatch.setattr(sd, "HOT", 5)
+    assert result(docs) == want
+
+
+def test_rows_of_a_hot_line_meet_in_their_task():
+    import pyarrow as pa
+
+    class Full:
+        value = np.full(1 << 5, 255, np.uint8).tobytes()
+
+    rng = random.Random(4)
+    line = "".join(rng.choice("abcdefghij ") for _ in range(400))
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(500)), "g": [0] * 500, "text": [line] * 500})
+    (got,) = sd._contexts(Full, Full)(iter([batch]))
+    with_bytes = got.filter(got.column("ctx").is_valid())
+    assert with_bytes.num_rows < got.num_rows / 100 and set(with_bytes.column("doc_id").to_pylist()) == {0}
 
 
 def test_radix_groups():
@@ -82,5 +117,13 @@ def test_edges(empty, odd):
     assert len(got) == 6 and got.count(("7", a, 0)) == 2 and ("None", a, a) in got and ("8", a, a) in got and ("9", 0, 0) in got
 
 
+def test_clashing_names(docs):
+    from pyspark.sql import functions as F
+
+    more = docs.withColumns({c: F.lit(1) for c in ("copy", "spans", "g", "h", "c_id")})
+    got = sd.dedup(more, carry=("copy", "spans", "g", "lang"))
+    assert got.columns == ["doc_id", "copy", "spans", "g", "lang", "n_bytes", "n_removed", "n_spans", "kept", "kept_text"] and got.count() == docs.count()
+
+
 def test_carried_columns(docs):
     assert sd.dedup(docs, carry=("lang", "source")).columns == ["doc_id", "lang", "source", "n_bytes", "n_removed", "n_spans", "kept", "kept_text"]
