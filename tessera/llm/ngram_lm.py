@@ -51,6 +51,8 @@ PROBE = 16  # one of so many texts shows which words may be that frequent
 CHILD_BITS = 40
 LOWEST, LEVELS = -24.0, (1 << 16) - 2  # the scale of codes: log10 from LOWEST to 0; code 0: not there
 MERGE = 1 << 21  # n-grams added up at once
+MOST = 1 << (64 - CHILD_BITS - 1)  # n-grams of a shard
+ASKED = 1 << 18  # n-grams looked up at once
 _END, _BEGIN = U(0x1D8E4E27C47D124F), U(0x71C9BF9A4DD5B7A3)
 ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 #: place of the k-th set bit of a byte
@@ -85,7 +87,7 @@ class Store:
     @classmethod
     def mapped(cls, uri: str) -> Store:
         if uri.startswith(("file:", "/")):
-            return cls(np.memmap("/" + uri.removeprefix("file:").lstrip("/"), np.uint8, "r"))
+            return cls(np.asarray(np.memmap("/" + uri.removeprefix("file:").lstrip("/"), np.uint8, "r")))
         with open_shared(uri) as f:
             return cls(np.frombuffer(f.read(), np.uint8))
 
@@ -145,15 +147,11 @@ class EliasFano:
         if not self.low_bits:
             return np.zeros(len(i), U)
         bit = i * self.low_bits
-        at = bit >> 3
-        out = np.zeros(len(i), U)
-        for j in range(8):
-            out |= self.lows[at + j].astype(U) << U(8 * j)
-        shift = (bit & 7).astype(U)
-        out >>= shift
+        at, shift = bit >> 3, (bit & 7).astype(U)
+        eight = np.ndarray(shape=(len(self.lows) - 7,), dtype="<u8", buffer=self.lows, strides=(1,))
+        out = eight[at] >> shift
         if self.low_bits > 56:
-            more = self.lows[at + 8].astype(U)
-            out |= np.where(shift > 0, more << (U(64) - np.maximum(shift, U(1))), U(0))
+            out |= np.where(shift > 0, self.lows[at + 8].astype(U) << (U(64) - np.maximum(shift, U(1))), U(0))
         return out & ((U(1) << U(self.low_bits)) - U(1))
 
     def access(self, i: np.ndarray) -> np.ndarray:
@@ -189,19 +187,23 @@ def restored(codes: np.ndarray) -> np.ndarray:
 
 
 class Trie:
-    """A shard: contexts (hashes, with their counts) -> following words (relative hashes) -> quantised shares."""
+    """A shard: contexts (hashes, with their counts) -> following words (relative hashes) -> quantised shares.
+
+    The keys of a context's followers fill the range that its pointers give: from the first one's place on, relative hash
+    times number of followers. So keys are as even as hashes are, whether a context has one follower or a million."""
 
     def __init__(self, store: Store):
         self.contexts, self.counts, self.pointer, self.keys, self.codes = EliasFano(store), store.take(), EliasFano(store), EliasFano(store), store.take()
 
     @staticmethod
-    def build(contexts: np.ndarray, counts: np.ndarray, keys: np.ndarray, shares: np.ndarray) -> Store:
-        """contexts: sorted hashes; keys: sorted (number of the context << CHILD_BITS | relative hash of the word)."""
+    def build(contexts: np.ndarray, counts: np.ndarray, number: np.ndarray, children: np.ndarray, shares: np.ndarray) -> Store:
+        """contexts: sorted hashes; number: sorted, each n-gram's context; children: relative hashes, sorted within it."""
         store = Store()
         EliasFano(store, contexts, (1 << 64) - 1)
         store.put(counts)
-        EliasFano(store, np.searchsorted(keys >> U(CHILD_BITS), np.arange(len(contexts) + 1, dtype=U)), len(keys))
-        EliasFano(store, keys, max(1, len(contexts) << CHILD_BITS))
+        pointer = np.searchsorted(number, np.arange(len(contexts) + 1))
+        EliasFano(store, pointer, len(number))
+        EliasFano(store, _keys(pointer[number], pointer[number + 1], children), max(1, len(number) << CHILD_BITS))
         store.put(quantised(np.log10(shares)))
         return store
 
@@ -210,16 +212,21 @@ class Trie:
         at, found = self.contexts.successor(contexts, np.zeros(len(contexts), np.int64), np.full(len(contexts), self.contexts.n))
         return np.where(found, at, -1)
 
-    def lookup(self, number: np.ndarray, child: np.ndarray) -> np.ndarray:
-        """Codes of each (context number, relative hash of a word); 0 where it is not in the trie."""
-        out = np.zeros(len(number), np.uint16)
-        here = np.flatnonzero(number >= 0)
-        n = number[here]
-        at, found = self.keys.successor(n.astype(U) << U(CHILD_BITS) | child[here], self.pointer.access(n).astype(np.int64), self.pointer.access(n + 1).astype(np.int64))
+    def lookup(self, number: np.ndarray, size: np.ndarray, child: np.ndarray) -> np.ndarray:
+        """Codes of words by relative hash, ``size`` of them after each context of the given number; 0 if not in the trie."""
+        out, known = np.zeros(len(child), np.uint16), number >= 0
+        here = np.flatnonzero(np.repeat(known, size))
+        n, size = number[known], size[known]
+        first, end = (np.repeat(self.pointer.access(i).astype(np.int64), size) for i in (n, n + 1))
+        at, found = self.keys.successor(_keys(first, end, child[here]), first, end)
         out[here[found]] = self.codes[at[found]]
         return out
 
 
+def _keys(first: np.ndarray, end: np.ndarray, child: np.ndarray) -> np.ndarray:
+    return (first.astype(U) << U(CHILD_BITS)) + child * (end - first).astype(U)
+
+
 def _grams(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, context, text number) of all tokens, ends included."""
     w = Words(raw, off)
@@ -339,8 +346,9 @@ def _read(t: pa.Table) -> tuple:
     values, number = np.unique(np.concatenate((word, [_BEGIN])), return_inverse=True)
     first = np.concatenate(([True], text[1:] != text[:-1]))
     ids = t.column("doc_id").to_numpy(zero_copy_only=False) if not t.column("doc_id").null_count else np.array([hash(x) for x in t.column("doc_id").to_pylist()])
-    name = mix(word + mix(np.arange(len(word), dtype=U))).sum(dtype=U) + mix(ids.astype(np.int64).view(U) + mix(np.arange(len(ids), dtype=U))).sum(dtype=U)
-    return int(mix(np.array([name], U))[0].view(np.int64)), values, number[:-1], first, text
+    odd = lambda x: (x * (2 * np.arange(len(x), dtype=U) + U(1))).sum(keepdims=True, dtype=U)
+    name = mix(odd(word)) + odd(mix(ids.astype(np.int64).view(U)))
+    return int(name[0].view(np.int64)), values, number[:-1], first, text
 
 
 def _sharded(shards: int, hot: np.ndarray, most: int):
@@ -383,8 +391,6 @@ def build_shard(blobs: list[bytes], often: dict[int, int]) -> tuple[Store, int]:
         if len(count):
             contexts.append(v[np.add.reduceat(count.astype(np.int64), np.cumsum(size, dtype=np.int64) - size) > 0])
     values = np.unique(np.concatenate(contexts))
-    if len(values) >= 1 << (64 - CHILD_BITS - 1):
-        raise ValueError("a shard has too many contexts: raise spark.sql.shuffle.partitions")
     keys, counts, held = np.zeros(0, U), np.zeros(0, np.int64), 0
     waiting: list[tuple[np.ndarray, np.ndarray]] = []
     for b in [*blobs, None]:
@@ -397,11 +403,13 @@ def build_shard(blobs: list[bytes], often: dict[int, int]) -> tuple[Store, int]:
         if held >= MERGE or b is None:
             keys, counts = _sums(np.concatenate([keys, *(k for k, _ in waiting)]), np.concatenate([counts, *(c for _, c in waiting)]))
             waiting, held = [], 0
+    if len(keys) >= MOST:
+        raise ValueError("a shard has too many n-grams: raise spark.sql.shuffle.partitions")
     own = (keys >> U(CHILD_BITS)).astype(np.int64)
     total = np.bincount(own, weights=counts, minlength=len(values)).astype(np.int64) if len(values) else np.zeros(0, np.int64)
     cut_ = np.array([int(x) in often for x in values.tolist()], bool)
     total[cut_] = [often[int(x)] for x in values[cut_].tolist()]
-    return Trie.build(values, total, keys, counts / (total[own] + MU)), int((~cut_).sum())
+    return Trie.build(values, total, own, keys & U((1 << CHILD_BITS) - 1), counts / (total[own] + MU)), int((~cut_).sum())
 
 
 def _answers(folder: str, often: dict[int, int]):
@@ -413,12 +421,20 @@ def _answers(folder: str, often: dict[int, int]):
         uri = f"{folder}/{shard}-{uuid.uuid4().hex}.trie"
         store.write(uri)
         del store
-        trie, out = Trie(Store.mapped(uri)), []
-        for b in blobs:
-            v, size, low, high, _ = _unpack(b)
-            number = trie.find(v)
-            codes = trie.lookup(np.repeat(number, size), high.astype(U) << U(32) | low.astype(U))
-            out.append(_pack(codes, _small(np.where(number >= 0, trie.counts[np.maximum(number, 0)] if len(trie.counts) else 0, 0))))
+        trie, out, waiting, asked = Trie(Store.mapped(uri)), [], [], 0
+        for i, b in enumerate(blobs):
+            waiting.append(_unpack(b)[:4])
+            asked += len(waiting[-1][2])
+            if asked >= ASKED or i + 1 == len(blobs):
+                v, size, low, high = (np.concatenate([x[k] for x in waiting]) for k in range(4))
+                number = trie.find(v)
+                codes = trie.lookup(number, size, high.astype(U) << U(32) | low.astype(U))
+                counts = np.where(number >= 0, trie.counts[np.maximum(number, 0)], 0) if len(trie.counts) else np.zeros(len(v), np.int64)
+                a = c = 0
+                for x in waiting:
+                    out.append(_pack(codes[a : a + len(x[2])], _small(counts[c : c + len(x[0])])))
+                    a, c = a + len(x[2]), c + len(x[0])
+                waiting, asked = [], 0
         n = len(out)
         return pa.table([pa.array([shard] * (n + 1), pa.int32()), pa.array([*table.column("chunk").to_pylist(), None], pa.int64()), pa.array([*out, None], pa.binary()), pa.array([None] * n + [words], pa.int64()), pa.array([None] * n + [uri], pa.string())], names=["shard", "chunk", "blob", "words", "uri"])
 
