@@ -310,6 +310,7 @@ def dedup(docs: DataFrame, map_bits: int = MAP_BITS, carry: tuple[str, ...] = ()
     # first copy of each text, by digest and without the texts
     digests = base.select("doc_id", "g", F.sha1(F.encode("text", "UTF-8")).alias("digest"))
     firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    firsts = cut(firsts, "first-copies")  # read anew, so that a large group of copies can be split in the join
     later = digests.join(firsts, "digest").where(~F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id", "g").distinct().withColumn("copy", F.lit(True))
     later = cut(later, "copies").select(F.col("doc_id").alias("c_id"), F.col("g").alias("c_g"), "copy")
     d = base.join(later, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("g") == F.col("c_g")), "left").select("doc_id", *kept_names, "text", "g", F.coalesce("copy", F.lit(False)).alias("copy"))
