@@ -2,7 +2,7 @@
 
 All licence templates and base phrases are put, as word sequences, into one generalised suffix automaton. A text is
 streamed through it and gives matching statistics: for every word the longest run ending there that is a substring of
-some template. Maximal long runs are chained, in order and with small gaps, into covered spans of a template; a
+some template. Maximal long runs, and whole templates inside them, are chained, in order and with small gaps, into covered spans of a template; a
 template whose words are covered enough gives its label. Base phrases are templates too: a place where one ends is
 read from the automaton (its state is on the suffix-link path of the current one).
 
@@ -31,15 +31,37 @@ TEMPLATES = (
     ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
     ("apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     ("mit", "Released under the MIT License"),
     ("mit", "Licensed under the MIT License"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd-2-clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("bsd-3-clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("bsl-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so"),
+    ("bsl-1.0", "Distributed under the Boost Software License, Version 1.0"),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3"),
+    ("gpl-2.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("gpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    ("lgpl-2.1", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."),
+    ("lgpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."),
+    ("agpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."),
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/"),
+    ("epl-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0"),
+    ("cc0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    ("cc0-1.0", "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law, including all related and neighboring rights, to the extent allowed by law."),
     ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0"),
-    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc-by-sa-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc-by-nc-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc-by-nd-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    ("cc-by-nc-sa-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    ("wtfpl", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION 0. You just DO WHAT THE FUCK YOU WANT TO."),
 )
 MIN_RUN = 3
 MAX_GAP = 4
@@ -53,49 +75,65 @@ def split(text: str) -> list[str]:
 
 
 class Automaton:
-    """Generalised suffix automaton over word numbers; ``where[v]`` is (template, end) of an occurrence of state v."""
+    """Generalised suffix automaton over word numbers; ``places[v]`` are (template, end) of all occurrences of state v."""
 
     def __init__(self, templates: list[list[str]], phrases: list[tuple[list[str], str]]):
         self.templates = [*templates, *(p for p, _ in phrases)]
         self.vocab = {w: i for i, w in enumerate(dict.fromkeys(w for t in self.templates for w in t))}
         self.next: list[dict[int, int]] = [{}]
-        self.link, self.len, self.where = [-1], [0], [(-1, -1)]
+        self.link, self.len = [-1], [0]
+        at: list[tuple[int, int, int]] = []  # state, template, end
         for k, t in enumerate(self.templates):
             last = 0
             for j, w in enumerate(t):
-                last = self._add(last, self.vocab[w], (k, j + 1))
+                last = self._add(last, self.vocab[w])
+                at.append((last, k, j + 1))
+        # a split may have cloned states since: an occurrence belongs to all states on the suffix path of its own
+        own: list[set[tuple[int, int]]] = [set() for _ in self.next]
+        for v, k, j in at:
+            own[v].add((k, j))
+        for v in sorted(range(1, len(self.next)), key=self.len.__getitem__, reverse=True):
+            own[self.link[v]] |= own[v]
+        self.places = [sorted(x) for x in own]
+        self.places[0] = []
         ends: list[list[tuple[int, int]]] = [[] for _ in self.next]
         for i, (p, _) in enumerate(phrases):
             v = 0
             for w in p:
                 v = self.next[v][self.vocab[w]]
             ends[v].append((len(p), i))
+        whole: list[list[tuple[int, int]]] = [[] for _ in self.next]
+        for v, k, j in at:
+            if j == len(self.templates[k]) and k < len(templates):
+                whole[v].append((j, k))
+        #: phrases, and whole templates, that end in a state: (length, number)
         self.ends: list[tuple[tuple[int, int], ...]] = [()] * len(self.next)
+        self.whole: list[tuple[tuple[int, int], ...]] = [()] * len(self.next)
         for v in sorted(range(1, len(self.next)), key=self.len.__getitem__):
             self.ends[v] = (*ends[v], *self.ends[self.link[v]])
+            self.whole[v] = (*whole[v], *self.whole[self.link[v]])
         n = len(self.vocab)
         self.pairs = np.unique([self.vocab[a] * n + self.vocab[b] for t in self.templates for a, b in zip(t, t[1:], strict=False)]).astype(np.int64)
 
-    def _state(self, length: int, link: int, nxt: dict[int, int], where: tuple[int, int]) -> int:
+    def _state(self, length: int, link: int, nxt: dict[int, int]) -> int:
         self.next.append(nxt)
         self.link.append(link)
         self.len.append(length)
-        self.where.append(where)
         return len(self.next) - 1
 
     def _split(self, p: int, c: int, q: int) -> int:
-        copy = self._state(self.len[p] + 1, self.link[q], dict(self.next[q]), self.where[q])
+        copy = self._state(self.len[p] + 1, self.link[q], dict(self.next[q]))
         self.link[q] = copy
         while p >= 0 and self.next[p].get(c) == q:
             self.next[p][c] = copy
             p = self.link[p]
         return copy
 
-    def _add(self, last: int, c: int, where: tuple[int, int]) -> int:
+    def _add(self, last: int, c: int) -> int:
         q = self.next[last].get(c)
         if q is not None:
             return q if self.len[q] == self.len[last] + 1 else self._split(last, c, q)
-        new = self._state(self.len[last] + 1, 0, {}, where)
+        new = self._state(self.len[last] + 1, 0, {})
         p = last
         while p >= 0 and c not in self.next[p]:
             self.next[p][c] = new
@@ -135,7 +173,7 @@ def _hash_of(words: list[str]) -> np.ndarray:
 def scan_words(ids: np.ndarray, a: Automaton, n_templates: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, int]]]:
     """ids: word numbers of one text, -1 for words in no template. Base places (start, phrase) and maximal runs
     (template, first word in the text, first word in the template, length)."""
-    places, runs = [], []
+    places, runs, whole = [], [], []
     n = len(a.vocab)
     ok = (ids[:-1] >= 0) & (ids[1:] >= 0)
     code = np.where(ok, ids[:-1].astype(np.int64) * n + ids[1:], -1)
@@ -152,47 +190,48 @@ def scan_words(ids: np.ndarray, a: Automaton, n_templates: int) -> tuple[list[tu
             for size, phrase in a.ends[v]:
                 if length >= size:
                     places.append((k - size + 1, phrase))
+            for size, t in a.whole[v]:  # it may stand inside a longer run of another template
+                if length >= size:
+                    whole.append((t, k - size + 1, 0, size))
             if length <= before[1] and before[1] >= MIN_RUN:
-                runs.append((*_placed(a, *before), k - 1))
+                runs.append((*before, k - 1))
             before = (v, length)
         if before[1] >= MIN_RUN:
-            runs.append((*_placed(a, *before), last))
-    return places, [(t, end - length + 1, at, length) for t, at, length, end in runs if t < n_templates]
+            runs.append((*before, last))
+    return places, whole + [(t, end - length + 1, at - length, length) for v, length, end in runs for t, at in a.places[v] if t < n_templates]
 
 
-def _placed(a: Automaton, v: int, length: int) -> tuple[int, int, int]:
-    t, end = a.where[v]
-    return t, end - length, length
-
-
-def chain(runs: list[tuple[int, int, int, int]], a: Automaton, sizes: list[int]) -> list[tuple[int, int, int, float]]:
-    """Chain runs of a template that follow each other in text and template: (template, first word, last word, share covered)."""
+def chain(runs: list[tuple[int, int, int, int]], sizes: list[int]) -> list[tuple[int, int, int, float]]:
+    """Chain runs of a template that follow each other in text and template, with gaps of at most MAX_GAP words; what
+    overlaps the run before (a doubled word) is trimmed. For each stretch of the text the chain that covers most:
+    (template, first word, last word, share covered)."""
     out = []
     by: dict[int, list[tuple[int, int, int]]] = {}
     for t, x, y, length in runs:
         by.setdefault(t, []).append((x, y, length))
-        words = a.templates[t][y : y + length]
-        for u, other in enumerate(a.templates[: len(sizes)]):  # a run shared by several templates counts for each
-            if u != t and (z := _find(other, words)) >= 0:
-                by.setdefault(u, []).append((x, z, length))
     for t, found in sorted(by.items()):
-        open_: tuple[int, int, int, int] | None = None  # first word, end in text, end in template, covered
-        for x, y, length in sorted(found):
-            if open_ and 0 <= x - open_[1] <= MAX_GAP and 0 <= y - open_[2] <= MAX_GAP:
-                open_ = (open_[0], x + length, y + length, open_[3] + length)
-            else:
-                if open_:
-                    out.append((t, open_[0], open_[1] - 1, open_[3] / sizes[t]))
-                open_ = (x, x + length, y + length, length)
-        if open_:
-            out.append((t, open_[0], open_[1] - 1, open_[3] / sizes[t]))
+        found.sort()
+        best: list[tuple[int, int]] = []  # words covered by the best chain that ends with a run, and its first word
+        near: list[int] = []  # runs that can still be followed
+        for i, (x, y, length) in enumerate(found):
+            near = [j for j in near if found[j][0] + found[j][2] + MAX_GAP >= x]
+            here = (length, x)
+            for j in near:
+                u, v, before = found[j]
+                trim = max(0, u + before - x, v + before - y)
+                if trim < length and x + trim - u - before <= MAX_GAP and y + trim - v - before <= MAX_GAP:
+                    here = max(here, (best[j][0] + length - trim, best[j][1]), key=lambda b: b[0])
+            best.append(here)
+            near.append(i)
+        taken: list[tuple[int, int]] = []
+        for i in sorted(range(len(found)), key=lambda i: (-best[i][0], found[i][0])):
+            first, last = best[i][1], found[i][0] + found[i][2] - 1
+            if all(last < a or first > b for a, b in taken):
+                taken.append((first, last))
+                out.append((t, first, last, best[i][0] / sizes[t]))
     return out
 
 
-def _find(hay: list[str], needle: list[str]) -> int:
-    return next((i for i in range(len(hay) - len(needle) + 1) if hay[i : i + len(needle)] == needle), -1)
-
-
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,first_word:long,last_word:long,covered:double>>"
 
 
@@ -217,7 +256,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 for d in range(len(off) - 1):
                     mine = ids[w.first[d] : w.first[d + 1]]
                     places, runs = scan_words(mine, a, len(sizes)) if len(mine) > 1 else ([], [])
-                    spans = [s for s in chain(runs, a, sizes) if s[3] >= COVERED]
+                    spans = [s for s in chain(runs, sizes) if s[3] >= COVERED]
                     base = sorted({BASE[p][1] for _, p in places})
                     labels = sorted({*base, *(TEMPLATES[s[0]][0] for s in spans)})
                     rows.append({
