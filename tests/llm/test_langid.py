@@ -26,24 +26,51 @@ def test_held_out_accuracy(spark):
     assert [got[i].lang_pred for i in (240, 241, 242)] == ["und"] * 3 and got[240].score == 0.0
 
 
+def fitted(texts, labels):
+    return langid.fit([langid.frequencies(t) for t in texts], labels, np.ones(1 << langid.BITS))
+
+
 def test_weights_are_sparse_and_calibrated():
     texts = ["aab ab aab"] * 60 + ["xxy yx xyy"] * 60
-    m = langid.fit(texts, ["p"] * 60 + ["q"] * 60)
+    m = fitted(texts, ["p"] * 60 + ["q"] * 60)
     assert (m.weights == 0).mean() > 0.99 and m.temperature > 0
     raw = np.frombuffer(b"aab ab" + b"xyy", np.uint8)
     assert langid.softmax(m.logits(raw, np.array([0, 6, 9]))).argmax(axis=1).tolist() == [0, 1]
 
 
 def test_bulk_scores_equal_single_ones():
-    m = langid.fit(["abc abd"] * 30 + ["xyz xyw"] * 30, ["a"] * 30 + ["b"] * 30)
-    texts = ["abc", "", "x", "xyz abd", "ab"]
-    off = np.cumsum([0, *map(len, texts)])
+    m = fitted(["abc abd"] * 30 + ["xyz xyw"] * 30, ["a"] * 30 + ["b"] * 30)
+    texts = ["abc", "", "x", "xyz abd", "ab", "é日𝄞 ÀB", "ß"]
+    off = np.cumsum([0, *(len(t.encode()) for t in texts)])
     bulk = m.logits(np.frombuffer("".join(texts).encode(), np.uint8), off)
     for t, z in zip(texts, bulk, strict=True):
         idx, v = langid.frequencies(t) if t else (np.zeros(0, int), np.zeros(0))
         assert z == pytest.approx(v @ m.weights[idx] + m.bias, abs=1e-6)
 
 
+def test_code_points():
+    texts = ["Aé日𝄞z", "", "ÀB\u0130"]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    p, off = langid.points(raw, np.cumsum([0, *(len(t.encode()) for t in texts)]))
+    assert [[*map(chr, p[a:b])] for a, b in zip(off[:-1], off[1:])] == [list("aé日𝄞z"), [], list("àb\u0130")]
+
+
+def test_rare_language_and_copies(spark):
+    """A third of the rows are copies of one text; one language has 1 in 100 rows; the sample is a tenth of them."""
+    d = data(spark, 900)
+    copies = d.where("doc_id = 1").crossJoin(spark.range(450).withColumnRenamed("id", "k")).selectExpr("10000 + k as doc_id", "text", "'en' as lang", "source", "n_chars", "extra")
+    rare = spark.createDataFrame([(20000 + i, "zzyx qwzx " * 5 + f"xzq{i} zyx", "zz", "s", 1, "") for i in range(14)], d.schema)
+    got = langid.identify(d.unionByName(copies).unionByName(rare), sample=120)
+    r = got.where("doc_id >= 20000").groupBy("lang_pred").count().collect()
+    assert [(x.lang_pred, x["count"]) for x in r] == [("zz", 14)]
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "some text", "en", "old", 9.0, 1)], "doc_id long, text string, lang string, lang_pred string, score double, o int")
+    assert langid.with_language(docs, None).columns == ["doc_id", "text", "lang", "o", "lang_pred", "score"]
+    assert len(langid.identify(docs).collect()) == 1
+
+
 def test_edges(empty, odd):
     assert langid.identify(empty).collect() == []
     assert len(langid.identify(odd).collect()) == 6
