@@ -23,8 +23,8 @@ size sieves them); whole sets are made again only for documents that take part i
 (at most SMALL a document), crowded ones a row a document; nothing is capped or dropped.
 
 Edge cases: null text is empty; a text without words has an empty set and is linked with nothing; fewer than five words
-give one shingle, the whole sequence; rows that share a doc_id are one document (links of its different texts are
-added up); a null doc_id is linked with nothing; an empty table gives an empty result. Extra columns are ignored.
+give one shingle, the whole sequence; rows that share a doc_id are one document, which connects its
+different texts (links of each are added up; n_shingles is of the row's own text); a null doc_id is linked with nothing; an empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -83,6 +83,10 @@ def sets_of(column: pa.Array, size: int = 5) -> Iterator[np.ndarray]:
             yield np.unique(s >> U(1))
 
 
+def digest(s: np.ndarray) -> int:
+    return int(mix(s).sum(dtype=U).view(np.int64))
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, n, two digests of the set, the prefix (null where the doc_id is, and where the task has had the same set of another)."""
     had: set[tuple[int, int]] = set()
@@ -91,7 +95,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for doc_id, s in zip(batch.column("doc_id").to_pylist(), sets_of(batch.column("text")), strict=True):
             n = len(s)
-            d = (int(mix(s).sum(dtype=U).view(np.int64)), int(mix(s ^ U(0x5DEECE66D)).sum(dtype=U).view(np.int64))) if n else (0, 0)
+            d = (digest(s), int(mix(s ^ U(0x5DEECE66D)).sum(dtype=U).view(np.int64))) if n else (0, 0)
             k = prefix_length(n)
             first = n > 0 and doc_id is not None and d not in had
             rows.append((doc_id, n, *d, int(s[k - 1]) if n else 0, may_omit(n), s[:k].view(np.int64) if first else None))
@@ -108,13 +112,15 @@ def _distinct_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def _kept_rows(marks):
+    """Rows (shingle, first digest of the set) of prefix shingles that occur more than once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("prefix")
             s = lists.flatten().to_numpy()
             ids = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
             on = marked(mix(s.view(U)), marks.value)
-            yield pa.RecordBatch.from_arrays([pa.array(s[on]), batch.column("doc_id").take(pa.array(ids[on]))], names=["s", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(s[on]), batch.column("d1").take(pa.array(ids[on]))], names=["s", "d1"])
 
     return run
 
@@ -125,8 +131,8 @@ def _sets(ids, size):
             doc = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             on = np.flatnonzero(marked(mix(doc.view(U)), ids.value))
             part = batch.take(pa.array(on))
-            blobs = [s.tobytes() for s in sets_of(part.column("text"), size)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(blobs, pa.binary())], names=["doc_id", "shingles"])
+            sets = list(sets_of(part.column("text"), size))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([digest(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "d1", "shingles"])
 
     return run
 
@@ -218,7 +224,7 @@ def far_apart(sets: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def _join_region(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["rep", "shingles"]).drop_duplicates("rep")
+    pdf = pdf.sort_values("rep").drop_duplicates("rep")  # a node has one set; its rows can repeat
     ids = pdf["rep"].tolist()
     j = _Join([np.frombuffer(b, U) for b in pdf["shingles"]], pdf["weight"].tolist(), [np.array(t, np.int64) for t in pdf["tags"]])
     j.region(list(range(len(ids))))
@@ -288,16 +294,20 @@ def link(docs: DataFrame, size: int = 5) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sig = cut(base.mapInArrow(_signatures, "doc_id long, n long, d1 long, d2 long, last long, omit int, prefix array<long>"), "signatures")
     some = sig.where("n > 0 and doc_id is not null")
-    # equal sets are one node, named by their smallest doc_id
-    same = some.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
-    members = cut(some.select("doc_id", "d1", "d2", "n", "last", "omit").join(same, ["d1", "d2", "n"]).select("doc_id", "rep", "n", "last", "omit").distinct(), "members")
-    info = members.where("doc_id = rep").groupBy("rep").agg(F.max("n").alias("n"), F.max("last").alias("last"), F.max("omit").alias("omit"))
-
-    # 1. singleton pivots
-    prefixes = some.where("prefix is not null").select("doc_id", "prefix")
+    # equal sets are one node, named by their smallest doc_id; of several sets of that id the others by a hash (negative)
+    same = cut(some.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("first"), F.max("last").alias("last"), F.max("omit").alias("omit")), "sets")
+    own = same.groupBy("first").agg(F.min(F.struct("d1", "d2", "n")).alias("own"))
+    named = F.when(F.col("own") == F.struct("d1", "d2", "n"), F.col("first")).otherwise(F.xxhash64("d1", "d2", "n").bitwiseOR(F.lit(-(1 << 63))))
+    nodes = cut(same.join(own, "first").select(named.alias("rep"), "first", "d1", "d2", "n", "last", "omit"), "nodes")
+    drop_table(same)
+    members = cut(some.select("doc_id", "d1", "d2", "n").join(nodes.select("rep", "d1", "d2", "n"), ["d1", "d2", "n"]).select("doc_id", "rep").distinct(), "members")
+    info = nodes.select("rep", "n", "last", "omit")
+
+    # 1. singleton pivots; a digest that two sets share would only make more candidates
+    prefixes = some.where("prefix is not null").select("d1", "prefix")
     twice = prefixes.mapInArrow(_distinct_hashes, "s long, n byte").groupBy("s").agg(F.sum("n").alias("n")).where("n > 1")
     marks = spark.sparkContext.broadcast(bit_map(twice.select("s").mapInArrow(_mixed, "h long"), MAP_BITS))
-    rows = prefixes.mapInArrow(_kept_rows(marks), "s long, doc_id long").join(members.select("doc_id", "rep"), "doc_id").select("s", "rep").distinct()
+    rows = prefixes.mapInArrow(_kept_rows(marks), "s long, d1 long").join(nodes.select("d1", "rep"), "d1").select("s", "rep").distinct()
     rows = cut(rows, "pivots")
     sizes = cut(sig.select("doc_id", F.col("n").alias("n_shingles")), "sizes")
     drop_table(sig)  # the prefixes have been used
@@ -327,25 +337,33 @@ def link(docs: DataFrame, size: int = 5) -> DataFrame:
     in_ = lambda side: groups.select(F.col("rep").alias(side), F.col("groups").alias(f"g{side}"))
     pairs = pairs.join(in_("x"), "x", "left").join(in_("y"), "y", "left").where(~F.coalesce(F.arrays_overlap("gx", "gy"), F.lit(False)))
     pairs = cut(pairs.select("x", "y").distinct(), "pairs")
-    linked = _verify(base, pairs, size).distinct()
+    linked = _verify(base, nodes, pairs, size).distinct()
     edges, of = linked, lambda side: weights.select(F.col("rep").alias(side), "weight")
     links = linked.join(of("y"), "y").select(F.col("x").alias("rep"), F.col("weight").alias("links"))
     links = links.union(linked.join(of("x"), "x").select("y", "weight"))
 
     # 3. crowded regions are joined in full; of those that a pair shares the one with the smallest pivot counts it
     if crowded.limit(1).count():
-        sets = _sets_of(base, groups.select(F.col("rep").alias("id")), size)
+        sets = _sets_of(base, nodes, groups.select(F.col("rep").alias("id")), size)
         todo = crowded.join(groups, "rep").join(weights, "rep").select("pivot", "rep", "weight", F.expr("filter(groups, g -> g < pivot)").alias("tags"))
-        filled = cut(todo.join(sets, F.col("rep") == F.col("doc_id")).select(F.col("pivot").cast("string").alias("region"), "rep", "weight", "tags", "shingles"), "regions")
+        filled = cut(todo.join(sets, F.col("rep") == F.col("id")).select(F.col("pivot").cast("string").alias("region"), "rep", "weight", "tags", "shingles"), "regions")
         more = cut(_divide(filled).groupBy("region").applyInPandas(_join_region, "x long, y long, links long"), "links")
         drop_table(filled)
         edges = edges.union(more.where("x <> y").select("x", "y"))
         links = links.union(more.select("x", "links"))
+    # a document with several sets connects them
+    several = members.groupBy("doc_id").agg(F.min("rep").alias("y"), F.max("rep").alias("x")).where("x <> y")
+    edges = edges.union(members.join(several.select("doc_id", "y"), "doc_id").where("rep <> y").select(F.col("rep").alias("x"), "y"))
     labels = cut(components(edges), "labels")
+    if labels.where("component < 0").limit(1).count():  # the smallest node may be named by a hash: its documents have the name
+        odd = labels.where("component < 0").join(nodes.select("rep", "first"), F.col("node") == F.col("rep")).groupBy("component").agg(F.min("first").alias("least"))
+        labels = labels.join(odd, "component", "left").select("node", F.coalesce("least", "component").alias("component"))
 
     links = links.groupBy("rep").agg(F.sum("links").alias("links"))
-    found = members.select("doc_id", "rep").distinct().join(weights, "rep").join(links, "rep", "left").join(labels, F.col("rep") == F.col("node"), "left")
-    found = found.groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"), F.sum(F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    known = weights.join(links, "rep", "left").join(labels, F.col("rep") == F.col("node"), "left")
+    # read anew, so that a node of very many equal documents can be split in the join
+    known = cut(known.select("rep", F.coalesce("component", F.when(F.col("rep") >= 0, F.col("rep"))).alias("component"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("links")), "known")
+    found = members.join(known, "rep").groupBy("doc_id").agg(F.min(F.coalesce("component", "doc_id")).alias("component_id"), F.sum("links").alias("n_links"))
     return sizes.join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
@@ -354,18 +372,20 @@ def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(mix(batch.column(0).to_numpy().view(U)).view(np.int64))], names=["h"])
 
 
-def _sets_of(base: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """doc_id, shingles (8 bytes each) of at least the given documents, from a second reading of the texts."""
+def _sets_of(base: DataFrame, nodes: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """id, shingles (8 bytes each) of the given nodes, from a second reading of the texts."""
     spark = base.sparkSession
-    marks = spark.sparkContext.broadcast(bit_map(ids.select("id").distinct().mapInArrow(_mixed, "h long"), ID_BITS))
-    return base.where("doc_id is not null").mapInArrow(_sets(marks, size), "doc_id long, shingles binary").join(ids.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    wanted = ids.select("id").distinct().join(nodes.select(F.col("rep").alias("id"), F.col("first").alias("doc_id"), "d1"), "id")
+    marks = spark.sparkContext.broadcast(bit_map(wanted.select("doc_id").distinct().mapInArrow(_mixed, "h long"), ID_BITS))
+    made = base.where("doc_id is not null").mapInArrow(_sets(marks, size), "doc_id long, d1 long, shingles binary")
+    return made.join(wanted, ["doc_id", "d1"]).select("id", "shingles")
 
 
-def _verify(base: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+def _verify(base: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
     ids = pairs.select(F.col("x").alias("id")).union(pairs.select(F.col("y").alias("id")))
-    sets = cut(_sets_of(base, ids, size), "sets")
-    a = sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("a"))
-    b = sets.select(F.col("doc_id").alias("y"), F.col("shingles").alias("b"))
+    sets = cut(_sets_of(base, nodes, ids, size), "sets")
+    a = sets.select(F.col("id").alias("x"), F.col("shingles").alias("a"))
+    b = sets.select(F.col("id").alias("y"), F.col("shingles").alias("b"))
     links = cut(pairs.join(a, "x").join(b, "y").select("x", "y", "a", "b").mapInArrow(_verified, "x long, y long"), "links")
     drop_table(sets)
     return links

@@ -166,3 +166,23 @@ def test_shared():
     lists = [np.array(sorted(rng.sample(range(300), rng.randrange(120))), np.int64) for _ in range(90)]
     both = nj.shared(lists)
     assert all(both[i, j] == len(np.intersect1d(lists[i], lists[j])) for i in range(90) for j in range(90) if i != j)
+
+
+def test_an_id_with_several_texts(spark):
+    """Each text keeps its links, and the document connects them."""
+    rng = random.Random(11)
+    a, long, other = words(rng, 100), words(rng, 1000), words(rng, 200)
+    near_a, near_long = [*a[:50], "changed", *a[51:]], [*long[:500], "changed", *long[501:]]
+    t = lambda w: " ".join(w)
+    rows = [(1, t(a)), (1, t(long)), (2, t(near_a)), (3, t(near_long)), (4, t(other)), (5, t(other)), (5, t(words(rng, 80))), (9, t(near_a))]
+    got = {(r.doc_id, r.n_shingles): (r.component_id, r.n_links) for r in nj.link(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert {i: c for (i, _), (c, _) in got.items()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 9: 1}
+    assert [got[1, 96], got[1, 996], got[2, 96], got[9, 96], got[3, 996]] == [(1, 3), (1, 3), (1, 2), (1, 2), (1, 1)]
+    # the smallest id of a group stands in rows whose sets are named by a hash
+    rows = [(1, t(a)), (1, t(long)), (7, t(near_a)), (8, t(near_long)), (6, t(other))]
+    assert {(r.doc_id, r.component_id) for r in nj.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {(1, 1), (7, 1), (8, 1), (6, 6)}
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 1, 2, 3, 4), (2, "a b c d e f", 1, 2, 3, 4)], "doc_id long, text string, rep int, n int, d1 int, first int")
+    assert {(r.doc_id, r.component_id, r.n_links) for r in nj.link(docs).collect()} == {(1, 1, 1), (2, 1, 1)}
