@@ -10,7 +10,7 @@ with anything, and each such row is judged by itself; of rows that repeat a doc_
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, langid, mixing, ngram_join, suffix_dedup
@@ -33,7 +33,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     docs = docs.select(*COLUMNS)
     with scratch(spark):
         first = cut(ngram_join.link(docs).where("doc_id = component_id").select("doc_id").distinct(), "kept", keep=True)
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # of rows that repeat a doc_id always the same one: the least by a hash of all its columns
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*COLUMNS), "text"))
+    kept = docs.join(first, "doc_id", "left_semi").withColumn("__row", order).where("__row = 1").drop("__row")
     return kept.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
 
 
