@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from tessera.errors import BudgetExceeded, BudgetKind
 
 
+#: What a task raises that has made more rows than its query may.
+OVER = "TESSERA_TUPLE_BUDGET"
+
+
 @dataclass(frozen=True)
 class Budget:
     """None means unlimited."""
@@ -33,26 +37,36 @@ class BudgetPolicy:
 
     def clamp(self, max_tuples: int | None, timeout_ms: int | None) -> Budget:
         for name, value in (("maxTuples", max_tuples), ("timeoutMs", timeout_ms)):
+            if value is not None and (isinstance(value, bool) or not isinstance(value, int)):
+                raise ValueError(f"{name} must be a whole number.")
             if value is not None and value <= 0:
                 raise ValueError(f"{name} must be positive.")
         return Budget(min(max_tuples or self.default_tuples, self.max_tuples), min(timeout_ms or self.default_timeout_ms, self.max_timeout_ms))
 
 
 class TupleMeter:
-    """Counts the rows out of every scan, filter, join and aggregation of one query, with Spark's observations."""
+    """Counts the rows out of every scan, filter, join and aggregation of one query, with Spark's observations. A task
+    that alone makes more rows than the budget fails at once (``stopping``), so that no operator runs far beyond it."""
 
-    def __init__(self, limit: int):
-        self.limit, self.seen = limit, []
+    def __init__(self, limit: int, stopping: bool = True):
+        self.limit, self.stopping, self.seen = limit, stopping, []
 
     def watch(self, df: DataFrame) -> DataFrame:
         o = Observation(f"rows-{uuid.uuid4().hex}")
         self.seen.append(o)
-        return df.observe(o, F.count(F.lit(1)).alias("n"))
+        df = df.observe(o, F.count(F.lit(1)).alias("n"))
+        if not self.stopping:
+            return df
+        row = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # its number in the task
+        return df.where(F.when(row < self.limit, F.lit(True)).otherwise(F.raise_error(F.lit(OVER)).cast("boolean")))
+
+    def failure(self, total: object) -> BudgetExceeded:
+        return BudgetExceeded(BudgetKind.TUPLES, f"Query exceeded its tuple budget: {total} rows processed, {self.limit} allowed. Try a tighter WHERE or LIMIT.")
 
     def check(self, total: int | None = None) -> None:
         total = sum(int(o.get.get("n", 0)) for o in self.seen) if total is None else total
         if total > self.limit:
-            raise BudgetExceeded(BudgetKind.TUPLES, f"Query exceeded its tuple budget: {total} rows processed, {self.limit} allowed. Try a tighter WHERE or LIMIT.")
+            raise self.failure(total)
 
 
 def run_limited(spark: SparkSession, work: Callable[[], object], timeout_ms: int | None) -> object:

@@ -20,6 +20,7 @@ log = logging.getLogger(__name__)
 NAME = re.compile(r"[A-Za-z0-9_]{1,64}")
 SAMPLE_DEFAULT, SAMPLE_MOST = 10, 1000
 CEILING_BYTES = 50 << 20
+JSON_BYTES = 1 << 20
 MCP_PRINCIPAL = "mcp"
 PROTOCOL = "2025-03-26"
 
@@ -77,6 +78,33 @@ def answer_json(a: Answer) -> dict:
     return out | ({"hint": r.hint} if r.hint else {})
 
 
+class Chunked:
+    """A body in chunked transfer coding, as a stream; one that breaks off is an error, not an end."""
+
+    def __init__(self, raw):
+        self.raw, self.left, self.over = raw, 0, False
+
+    def read(self, n: int) -> bytes:
+        if not self.left and not self.over:
+            try:
+                self.left = int(self.raw.readline(1 << 10).split(b";")[0].strip(), 16)
+            except ValueError as ex:
+                raise Failure(400, "BAD_REQUEST", "Malformed chunked body.") from ex
+            if not self.left:
+                self.over = True
+                while self.raw.readline(1 << 10).strip():  # trailers
+                    pass
+        if self.over:
+            return b""
+        data = self.raw.read(min(n, self.left))
+        if not data:
+            raise Failure(400, "BAD_REQUEST", "The chunked body broke off.")
+        self.left -= len(data)
+        if not self.left:
+            self.raw.readline(8)
+        return data
+
+
 class Gateway:
     """The operations both surfaces share."""
 
@@ -91,13 +119,12 @@ class Gateway:
         return {"name": name, "columns": [{"name": c, "type": k} for c, k in zip(t.columns, t.types, strict=True)]}
 
     def upload(self, name: str, body, length: int | None) -> dict:
+        """``body`` is read to its end, or to ``length`` bytes where that is known; a shorter one is refused."""
         if not self.uploads.enabled:
             raise Failure(404, "NOT_FOUND", "Uploads are disabled.")
         check_name(name)
         cap = min(self.uploads.max_bytes, CEILING_BYTES)
-        if length is None:
-            raise Failure(400, "BAD_REQUEST", "Content-Length is required.")
-        if length > cap:
+        if length is not None and length > cap:
             raise Failure(413, "PAYLOAD_TOO_LARGE", f"Upload exceeds {cap} bytes.")
         with self._upload:
             if len(self.catalog) >= self.uploads.max_tables:
@@ -107,14 +134,15 @@ class Gateway:
             path = os.path.join(self.work_dir, f"{name}-{uuid.uuid4().hex}.csv")
             done = False
             try:
+                size = 0
                 with open(path, "wb") as f:
-                    left = length
-                    while left:
-                        data = body.read(min(left, 1 << 16))
-                        if not data:
-                            break
+                    while data := body.read(1 << 16 if length is None else min(length - size, 1 << 16)):
+                        size += len(data)
+                        if size > cap:
+                            raise Failure(413, "PAYLOAD_TOO_LARGE", f"Upload exceeds {cap} bytes.")
                         f.write(data)
-                        left -= len(data)
+                if length is not None and size < length:
+                    raise Failure(400, "BAD_REQUEST", f"The body ended after {size} of {length} bytes.")
                 try:
                     done = self.catalog.register_csv(name, path)
                 except QueryError as ex:
@@ -144,6 +172,12 @@ TOOLS = {
 }
 
 
+def _text(args: dict, name: str) -> str:
+    if not isinstance(value := args.get(name, ""), str):
+        raise ValueError(f"{name} must be a string.")
+    return value
+
+
 def call_tool(g: Gateway, name: str, args: dict) -> dict:
     """A tool's result, or its error as text: CODE: message."""
     try:
@@ -154,9 +188,9 @@ def call_tool(g: Gateway, name: str, args: dict) -> dict:
         elif name == "sample_rows":
             out = answer_json(g.sample(args.get("name", ""), args.get("limit")))
         elif name == "explain_query":
-            out = answer_json(g.service.execute(f"EXPLAIN {args.get('sql', '')}", principal=MCP_PRINCIPAL))
+            out = answer_json(g.service.execute(f"EXPLAIN {_text(args, 'sql')}", principal=MCP_PRINCIPAL))
         elif name == "query":
-            out = answer_json(g.service.execute(args.get("sql", ""), args.get("maxTuples"), args.get("timeoutMs"), MCP_PRINCIPAL))
+            out = answer_json(g.service.execute(_text(args, "sql"), args.get("maxTuples"), args.get("timeoutMs"), MCP_PRINCIPAL))
         else:
             raise ValueError(f"Unknown tool '{name}'.")
         return {"content": [{"type": "text", "text": json.dumps(out)}], "isError": False}
@@ -204,7 +238,10 @@ def make_server(g: Gateway, host: str = "127.0.0.1", port: int = 8080) -> Thread
             if "json" not in (self.headers.get("Content-Type") or ""):
                 raise Failure(415, "UNSUPPORTED_MEDIA_TYPE", "Send application/json.")
             try:
-                out = json.loads(self.rfile.read(int(self.headers.get("Content-Length") or 0)))
+                size = int(self.headers.get("Content-Length") or 0)
+                if size > JSON_BYTES:
+                    raise Failure(413, "PAYLOAD_TOO_LARGE", f"Request body exceeds {JSON_BYTES} bytes.")
+                out = json.loads(self.rfile.read(size))
             except ValueError as ex:
                 raise Failure(400, "BAD_REQUEST", "Malformed or missing request body.") from ex
             if not isinstance(out, dict):
@@ -241,6 +278,8 @@ def make_server(g: Gateway, host: str = "127.0.0.1", port: int = 8080) -> Thread
                 match self._path():
                     case ["queries"]:
                         b = self._json()
+                        if not isinstance(b.get("sql"), str | None):
+                            raise Failure(400, "BAD_REQUEST", "sql must be a string.")
                         a = g.service.execute(b.get("sql"), b.get("maxTuples"), b.get("timeoutMs"), self.headers.get("X-Api-Key") or "anonymous")
                         return 200, answer_json(a)
                     case ["tables", name]:
@@ -249,7 +288,11 @@ def make_server(g: Gateway, host: str = "127.0.0.1", port: int = 8080) -> Thread
                         if "text/csv" not in (self.headers.get("Content-Type") or ""):
                             raise Failure(415, "UNSUPPORTED_MEDIA_TYPE", "Send text/csv.")
                         n = self.headers.get("Content-Length")
-                        return 201, g.upload(name, self.rfile, int(n) if n else None)
+                        if "chunked" in (self.headers.get("Transfer-Encoding") or "").lower():
+                            return 201, g.upload(name, Chunked(self.rfile), None)
+                        if n is None:
+                            raise Failure(411, "LENGTH_REQUIRED", "Send Content-Length or a chunked body.")
+                        return 201, g.upload(name, self.rfile, int(n))
                     case ["mcp"]:
                         out = rpc(g, self._json())
                         return (202, None) if out is None else (200, out)

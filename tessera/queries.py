@@ -46,6 +46,7 @@ SQL: dict[str, tuple[str, list[str], str]] = {
     "group_keys_only": ("SELECT lineitem.l_returnflag, lineitem.l_linestatus FROM lineitem GROUP BY lineitem.l_returnflag, lineitem.l_linestatus", ["l_returnflag", "l_linestatus"], "SELECT l_returnflag, l_linestatus FROM lineitem GROUP BY l_returnflag, l_linestatus"),
     "group_key_hidden": ("SELECT COUNT(*) FROM orders GROUP BY orders.o_orderpriority", ["n"], "SELECT CAST(count(*) AS INTEGER) AS n FROM orders GROUP BY o_orderpriority"),
     "group_multi": ("SELECT lineitem.l_returnflag, lineitem.l_linestatus, COUNT(*) FROM lineitem GROUP BY lineitem.l_returnflag, lineitem.l_linestatus", ["l_returnflag", "l_linestatus", "n"], "SELECT l_returnflag, l_linestatus, CAST(count(*) AS INTEGER) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus"),
+    "group_columns_first": ("SELECT COUNT(*), part.p_brand, SUM(part.p_size) FROM part GROUP BY part.p_brand", ["p_brand", "n", "total"], "SELECT p_brand, CAST(count(*) AS INTEGER) AS n, CAST(sum(p_size) AS INTEGER) AS total FROM part GROUP BY p_brand"),
     "distinct": ("SELECT DISTINCT lineitem.l_returnflag FROM lineitem", ["l_returnflag"], "SELECT DISTINCT l_returnflag FROM lineitem"),
     "distinct_multi": ("SELECT DISTINCT orders.o_orderstatus, orders.o_orderpriority FROM orders", ["o_orderstatus", "o_orderpriority"], "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders"),
     "sort": ("SELECT customer.c_custkey, customer.c_name FROM customer ORDER BY customer.c_custkey", ["c_custkey", "c_name"], "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey"),
@@ -64,5 +65,13 @@ def _query(sql: str, names: list[str]) -> Callable[[SparkSession, str], DataFram
     return lambda spark, sf_dir: engine(spark, sf_dir).frame(sql, names)
 
 
+def limit_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows a LIMIT lets through, and whether it says that there are more, for a LIMIT below and one above."""
+    found = [engine(spark, sf_dir).execute(f"SELECT nation.n_name FROM nation LIMIT {n}") for n in (7, 1000)]
+    return spark.createDataFrame([(n, len(r.rows), r.truncated) for n, r in zip((7, 1000), found, strict=True)], "lim int, n int, truncated boolean")
+
+
 QUERIES = {name: _query(sql, names) for name, (sql, names, _) in SQL.items()}
 ORACLE_SQL = {name: oracle for name, (_, _, oracle) in SQL.items()}
+QUERIES["limit_flag"] = limit_flag
+ORACLE_SQL["limit_flag"] = "SELECT CAST(l AS INTEGER) AS lim, CAST(least(l, (SELECT count(*) FROM nation)) AS INTEGER) AS n, l < (SELECT count(*) FROM nation) AS truncated FROM (VALUES (7), (1000)) v(l)"

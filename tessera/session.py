@@ -12,14 +12,14 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.budget import Budget, BudgetPolicy, TupleMeter, run_limited
+from tessera.budget import OVER, Budget, BudgetPolicy, TupleMeter, run_limited
 from tessera.errors import QueryError, from_spark
 from tessera.plans import frontend, logical
 from tessera.plans.ast import Query
 from tessera.plans.compiler import ColumnMeta, Compiled, Compiler
 from tessera.sources.catalog import Catalog
 
-TRUNCATED = "Result was truncated by LIMIT; more rows exist. Raise the LIMIT or add a WHERE filter to see other rows."
+TRUNCATED = "Result was truncated by LIMIT at {} rows; more rows exist. Raise the LIMIT or add a WHERE filter to see other rows."
 
 
 @dataclass(frozen=True)
@@ -30,7 +30,7 @@ class ResultSet:
 
     @property
     def hint(self) -> str | None:
-        return TRUNCATED if self.truncated else None
+        return TRUNCATED.format(len(self.rows)) if self.truncated else None
 
 
 class Engine:
@@ -48,6 +48,8 @@ class Engine:
 
     def compile(self, sql: str, meter: TupleMeter | None = None) -> Compiled:
         q = self.parse(sql)
+        if meter and q.limit is not None and not (q.grouped or q.distinct or q.order_by):
+            meter.stopping = False  # such a LIMIT stops by itself, and reads ahead by batches
         return Compiler(self.catalog, q, self.algorithm, meter.watch if meter else None).compile()
 
     def frame(self, sql: str, names: list[str] | None = None) -> DataFrame:
@@ -58,9 +60,10 @@ class Engine:
 
     def explain(self, sql: str) -> str:
         q = self.parse(sql)
-        Compiler(self.catalog, q).compile()
+        c = Compiler(self.catalog, q, self.algorithm).compile()
+        frame = c.frame if c.limit is None else c.frame.limit(c.limit)
         columns = {t: self.catalog.get(t).columns for t in q.tables}
-        return f"=== Plan (as written) ===\n{logical.show(logical.written(q))}\n=== Plan (optimized) ===\n{logical.show(logical.optimized(q, columns))}"
+        return f"=== Plan (as written) ===\n{logical.show(logical.written(q))}\n=== Plan (optimized) ===\n{logical.show(logical.optimized(q, columns))}\n=== Plan (Catalyst) ===\n{frame._jdf.queryExecution().optimizedPlan().toString().rstrip()}"
 
     def execute(self, sql: str, budget: Budget = Budget()) -> ResultSet:
         meter = TupleMeter(budget.max_tuples) if budget.max_tuples is not None else None
@@ -69,8 +72,12 @@ class Engine:
             meter.check(sum(t.row_count for t in c.scans))  # all of it would be read: no need to start
 
         def work() -> ResultSet:
-            df = c.frame if c.limit is None else c.frame.limit(c.limit + 1)
+            # no more rows than the budget allows ever reach the driver, but one that shows there are more
+            most = min((x + 1 for x in (c.limit, budget.max_tuples) if x is not None), default=None)
+            df = c.frame if most is None else c.frame.limit(most)
             rows = [tuple(r) for r in df.collect()]
+            if meter and len(rows) > meter.limit:
+                raise meter.failure(f"more than {meter.limit}")
             if meter:
                 # a LIMIT over pipelined operators reads ahead by whole batches: what it asked for is what counts
                 meter.check(len(rows) * len(meter.seen) if c.streaming and c.limit is not None else None)
@@ -82,6 +89,8 @@ class Engine:
         except QueryError:
             raise
         except (PySparkException, Py4JJavaError) as ex:
+            if meter and OVER in str(ex):
+                raise meter.failure(f"more than {meter.limit}") from ex
             raise from_spark(ex) from ex
 
     def write_csv(self, sql: str, path: str, budget: Budget = Budget()) -> None:

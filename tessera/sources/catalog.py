@@ -97,6 +97,13 @@ def frame_meta(name: str, frame: DataFrame) -> TableMeta:
     return TableMeta(name, frame.toDF(*columns), columns, tuple(type_name(f.dataType) for f in frame.schema))
 
 
+def _has_line_breaks(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted cell may hold a line break: some line has an odd number of quotes. Only such a file must be read
+    as a whole; any other is split into tasks by lines."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return bool(spark.read.text(path).agg(F.coalesce(F.bool_or(quotes % 2 == 1), F.lit(False))).first()[0])
+
+
 def read_csv(spark: SparkSession, name: str, path: str) -> TableMeta:
     """One pass over the file finds its types (INT unless some cell is not one) and its rows."""
     try:
@@ -108,7 +115,7 @@ def read_csv(spark: SparkSession, name: str, path: str) -> TableMeta:
         if twice:
             raise QueryError(ErrorCode.DATA_ERROR, f"Table '{name}' has a duplicate column: {', '.join(twice)}.")
         shape = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(cells))])
-        raw = spark.read.schema(shape).options(**_CSV, header=True, enforceSchema=True, mode="FAILFAST").csv(path)
+        raw = spark.read.schema(shape).options(**(_CSV | {"multiLine": _has_line_breaks(spark, path)}), header=True, enforceSchema=True, mode="FAILFAST").csv(path)
         text = [F.coalesce(F.col(f"_c{i}"), F.lit("")) for i in range(len(cells))]
         ints = [F.bool_and(t.rlike(_INT) & F.expr(f"try_cast(coalesce(_c{i}, '') as int)").isNotNull()).alias(f"i{i}") for i, t in enumerate(text)]
         found = raw.agg(F.count(F.lit(1)).alias("n"), *ints).first()

@@ -158,6 +158,8 @@ def test_column_metadata(engine):
 
 def test_explain(engine):
     text = engine.explain("SELECT Student.B, SUM(Student.C) FROM Student, Enrolled WHERE Student.A = Enrolled.A AND Student.D > 30 GROUP BY Student.B")
+    text, _, catalyst = text.partition("\n=== Plan (Catalyst) ===\n")
+    assert "Aggregate" in catalyst and "Join Inner" in catalyst
     assert text == """=== Plan (as written) ===
 Aggregate[group by: Student.B; calls: SUM(Student.c)]
   Project[Enrolled.A, Student.A, Student.B, Student.C, Student.D]
@@ -309,3 +311,53 @@ def test_plans_push_down_and_prune(spark, tmp_path):
     e = Engine(spark, Catalog.from_parquet(spark, str(tmp_path), ("T",)))
     plan = e.frame("SELECT T.a FROM T WHERE T.b > 5")._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(b), GreaterThan(b,5)]" in plan and "ReadSchema: struct<a:int,b:int>" in plan
+
+
+def test_parser_in_threads(spark, engine):
+    """Quoted names parse in any thread, and no setting of the session changes."""
+    import threading
+
+    key, found = "spark.sql.ansi.doubleQuotedIdentifiers", []
+    before = spark.conf.get(key)
+
+    def work():
+        for _ in range(20):
+            found.append(engine.parse('SELECT "Student"."a" FROM Student').columns[0].name)
+
+    threads = [threading.Thread(target=work) for _ in range(8)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert found == ["a"] * 160 and spark.conf.get(key) == before
+
+
+def test_budget_stops_tasks_and_fetches(spark):
+    """A cross product of 10**10 rows ends at once, and no more rows than allowed and one reach the driver."""
+    import time
+
+    c = Catalog(spark)
+    c.register_frame("A", spark.range(100_000).selectExpr("cast(id as int) x"))
+    c.register_frame("B", spark.range(100_000).selectExpr("cast(id as int) y"))
+    e, began = Engine(spark, c), time.time()
+    for sql in ("SELECT * FROM A, B", "SELECT COUNT(*) FROM A, B", "SELECT A.x FROM A ORDER BY A.x"):
+        with pytest.raises(BudgetExceeded) as failed:
+            e.execute(sql, Budget(max_tuples=1000))
+        assert failed.value.kind is BudgetKind.TUPLES and "tuple budget" in str(failed.value)
+    assert time.time() - began < 60
+    assert len(e.execute("SELECT A.x FROM A LIMIT 7", Budget(max_tuples=1000)).rows) == 7
+
+
+def test_csv_without_line_breaks_is_split(spark, tmp_path):
+    path = tmp_path / "big.csv"
+    path.write_text("a,b\n" + "".join(f'{i},"x, ""y"" {i}"\n' for i in range(20_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        c = Catalog(spark)
+        c.register_csv("Big", str(path))
+        assert c.get("Big").frame.rdd.getNumPartitions() > 3 and c.get("Big").row_count == 20_000
+        assert Engine(spark, c).execute("SELECT Big.b FROM Big WHERE Big.a = 19999").rows == [('x, "y" 19999',)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")

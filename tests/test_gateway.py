@@ -51,6 +51,7 @@ def test_queries(server):
     ({"sql": "SELEKT"}, 400, "PARSE_ERROR"), ({"sql": "SELECT People.x FROM People"}, 422, "UNKNOWN_COLUMN"), ({"sql": "SELECT * FROM Nope"}, 422, "UNKNOWN_TABLE"),
     ({"sql": "SELECT * FROM People WHERE People.id = 'a'"}, 422, "TYPE_MISMATCH"), ({"sql": "SELECT COUNT(*) FROM People", "maxTuples": 1}, 429, "BUDGET_EXCEEDED"),
     ({"sql": "SELECT * FROM People", "maxTuples": 0}, 400, "BAD_REQUEST"), ({}, 400, "PARSE_ERROR"), (b"{", 400, "BAD_REQUEST"),
+    ({"sql": 5}, 400, "BAD_REQUEST"), ({"sql": "SELECT * FROM People", "maxTuples": "9"}, 400, "BAD_REQUEST"), ({"sql": "SELECT * FROM People", "timeoutMs": 1.5}, 400, "BAD_REQUEST"),
 ])
 def test_failures(server, body, status, code):
     got, out, headers = call(server[0], "/queries", body)
@@ -100,3 +101,39 @@ def test_mcp(server):
     assert json.loads(tool(base, "query", sql="SELECT COUNT(*) FROM People")[1])["rows"] == [[3]]
     assert tool(base, "query", sql="SELECT * FROM Nope")[1].startswith("UNKNOWN_TABLE: ")
     assert tool(base, "sample_rows", name="People; DROP")[0]
+
+
+def test_quoted_identifiers_through_both_surfaces(server):
+    sql = 'SELECT "People"."name" FROM People WHERE "People"."id" = 2'
+    assert call(server[0], "/queries", {"sql": sql})[1]["rows"] == [["bob"]]
+    error, text = tool(server[0], "query", sql=sql)
+    assert not error and json.loads(text)["rows"] == [["bob"]]
+
+
+def raw_post(base, head, body):
+    import socket
+
+    host, port = base.removeprefix("http://").split(":")
+    with socket.create_connection((host, int(port)), 30) as s:
+        s.sendall(head.encode() + b"\r\n\r\n" + body)
+        s.shutdown(socket.SHUT_WR)
+        out = b""
+        while data := s.recv(1 << 16):
+            out += data
+    return int(out.split(b" ")[1])
+
+
+def test_bodies_that_break_off_make_no_table(server):
+    g = Gateway(server[1].service, UploadSettings(True, 200, 50), server[1].work_dir)
+    own = make_server(g, port=0)
+    threading.Thread(target=own.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{own.server_port}"
+    head = "POST /tables/Short HTTP/1.1\r\nHost: x\r\nContent-Type: text/csv\r\nConnection: close\r\n"
+    assert raw_post(base, head + "Content-Length: 50", b"a,b\n1,2\n") == 400
+    assert raw_post(base, head + "Transfer-Encoding: chunked", b"8\r\na,b\n1,2\n\r\n") == 400
+    assert raw_post(base, head.rstrip(), b"") == 411
+    assert raw_post(base, head + "Transfer-Encoding: chunked", b"ff\r\n" + b"x" * 255 + b"\r\n0\r\n\r\n") == 413
+    assert "Short" not in g.catalog
+    assert raw_post(base, head.replace("Short", "Streamed") + "Transfer-Encoding: chunked", b"4\r\na,b\n\r\n4\r\n1,2\n\r\n0\r\n\r\n") == 201
+    assert g.catalog.get("Streamed").row_count == 1
+    own.shutdown()
