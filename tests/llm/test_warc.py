@@ -75,3 +75,10 @@ def test_edges(spark):
     assert warc.read(warc.write(spark.createDataFrame([], shape))).collect() == []
     got = warc.read(warc.write(spark.createDataFrame([(None, None, "a", None), (5, "u", "a", "z"), (5, "u", "a", "z"), (None, "u", None, "")], shape))).collect()
     assert sorted((str(r.page_id), r.record_type) for r in got) == [("5", "response"), ("5", "response"), ("None", "response"), ("None", "revisit")]
+
+
+def test_clashing_names(spark):
+    rows = [(1, "u", "a", "x", 7, 9, 3, "y"), (2, "v", "a", None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, sha1 string, bytes long, first_id long, n long, refers_to string")
+    got = warc.read(warc.write(df)).collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in got) == [(1, "response", None), (2, "revisit", 1)]
