@@ -62,6 +62,15 @@ def test_odd_rows(spark, folder, odd, name, stage):
     assert stage(spark, odd, folder).count() <= 18
 
 
+@pytest.mark.parametrize("name,stage", cp.STAGES)
+def test_clashing_names(spark, folder, name, stage):
+    """Columns named as a stage names its own change nothing, and don't come through."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").drop("extra")
+    clash = docs.selectExpr("*", "'x' as row", "1 as __row", "'no' as lang_pred", "9.5D as score", "-1L as component_id", "2 as copies", "'k' as kept", "'t' as kept_text", "0 as n_removed", "7 as size", "3.0D as target")
+    want, got = stage(spark, docs, folder), stage(spark, clash, folder)
+    assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
 def test_a_leak_without_id_goes_and_other_rows_without_id_stay(spark, folder):
     item = spark.read.parquet(f"{folder}/benchmark.parquet").first().text
     rows = [(None, f"some words before {item}", "en", "a", 1, "x"), (None, "a text of its own without an item", "en", "a", 1, "x"), (5, "another one that stays", "en", "a", 1, "x")]
