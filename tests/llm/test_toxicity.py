@@ -125,3 +125,36 @@ def test_words_are_learned_with_the_letters(spark):
     docs, labels = data(spark)
     found = tx.learn(docs, labels).chars.words
     assert found["idiot"] > 1 and found["moron"] > 1 and not any("\t" in w for w in found)
+
+
+def test_every_labelled_row_is_learned_from(spark):
+    """More labelled rows than any sample of 20,000: counts of words, trigrams and toxic documents cover them all."""
+    n = 28_000
+    name = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
+    rows = [(i, " ".join([*(p + name(i) for p in "klmnop"), "zvzwz", "hxhqh" if i % 3 == 0 else "uyuiu"]), int(i % 3 == 0)) for i in range(n)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    known = [i for i in range(n) if zlib.crc32(str(i).encode()) % 4 != 2]
+    toxic = sum(i % 3 == 0 for i in known)
+    assert len(known) > 20_000
+    got = tx.learn(d.select("doc_id", "text"), d.select("doc_id", "toxic"))
+    assert got.chars.words["zvzwz"] == got.chars.counts["zvz"] == len(known) and got.chars.words["hxhqh"] == toxic
+    assert got.lexicon["hxhqh"] == (toxic + 0.5) / (toxic + 1) and got.base == 0.5 / (len(known) - toxic + 1)
+
+
+def test_known_words_in_flat_arrays():
+    """As a dict would hold them, words of the same CRC-32 apart."""
+    counts = {"plumless": 2, "buckeroo": 3, "ñandú": 4, "a": 3_000_000_000_000, "idiot": 40}
+    assert zlib.crc32(b"plumless") == zlib.crc32(b"buckeroo")
+    crc = [zlib.crc32(w.encode()) for w in counts]
+    got = tx.Known(tx.pa.array(list(counts)), tx.np.array(list(counts.values())), tx.np.array(crc))
+    assert dict(got) == counts and len(got) == 5 and sum(got.values()) == sum(counts.values())
+    assert all(got.get(w) == n and w in got for w, n in counts.items()) and "absent" not in got and got.get("") is None
+    flat = tx.CharModel(known().counts, tx.Known(tx.pa.array(list(known().words)), tx.np.array(list(known().words.values())), tx.np.array([zlib.crc32(w.encode()) for w in known().words])))
+    for token in ["sttupid", "mmoron", "s t u p ! d", "*diot", "letter", "+rash", "well-known", "y o u m o r o n"]:
+        assert tx.token_words(token, flat) == tx.token_words(token, known())
+    assert not tx.Known(tx.pa.array([], tx.pa.string()), tx.np.zeros(0, int), tx.np.zeros(0, int))
+
+
+def test_equal_texts_leave_a_task_only_while_their_id_falls():
+    batch = tx.pa.RecordBatch.from_pydict({"doc_id": [5, 7, 3, 4, 9, 2], "text": ["a b", "a b", "a b", "a b", "c", "a b"], "toxic": [0, 0, 0, 1, 0, 0]})
+    assert [i for b in tx._keyed([batch]) for i in b.column("doc_id").to_pylist()] == [5, 3, 4, 9, 2]
